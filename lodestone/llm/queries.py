@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, neardup, packing, secrets, sharding, urlfilter
+from . import kneser_ney, mixing, neardup, packing, quality, secrets, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), folds=4, held=2)
+    return scored.select("doc_id", F.coalesce(quality.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -43,5 +49,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"), folds=5, fold=1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_packing, op5_sharding, op6_mixing, op7_near_duplicates, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_packing, op4_quality, op5_sharding, op6_mixing, op7_near_duplicates, op10_lm_scoring)}
 ORACLE: dict[str, str] = {}
