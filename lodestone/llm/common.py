@@ -45,7 +45,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: later steps neither recompute them nor depend on lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

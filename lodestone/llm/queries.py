@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, neardup, packing, quality, secrets, sharding, urlfilter
+from . import kneser_ney, media, mixing, neardup, packing, quality, secrets, sharding, urlfilter, vptree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +45,17 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_of(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"), folds=5, fold=1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_packing, op4_quality, op5_sharding, op6_mixing, op7_near_duplicates, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_packing, op4_quality, op5_sharding, op6_mixing, op7_near_duplicates, op8_nearest_neighbours, op9_media, op10_lm_scoring)}
 ORACLE: dict[str, str] = {}
