@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from .common import prepare, staged
 
 SHARD_ROWS, LEAF, QUERY_BLOCK = 8192, 128, 4096
-RELAX = 1.5
+RELAX = 5.0
 TIE = 1e-12
 
 
