@@ -4,7 +4,7 @@ A text's set is its distinct k-word shingles. Its sketch has registers of
 exponentially spaced truncated minima: for register i, the least value of an
 exponential hash over the set, on a logarithmic scale of base BASE, truncated.
 Sketches of parts merge by maximum; two registers agree with a chance a little
-over the similarity. ROWS registers make a band; documents that share a band
+over the similarity. Some registers make a band; documents that share a band
 are candidates. Similarity is estimated jointly from the counts of registers
 that are greater, less and equal, with both set sizes known, by maximum
 likelihood; candidates far under the threshold are dropped by it (SIGMAS
@@ -17,8 +17,8 @@ having been compared with every member, leave the rest, and the rest goes into
 the next round with more pivots. So groups of any size take a linear number of
 comparisons as long as they hold together, and no link is given up: a pair that
 shares a band is compared or its documents are connected already. The chance
-that a pair at the threshold shares no band is (1 - t^ROWS)^BANDS, 2e-7 for
-0.85. Components are found by joins; neither links nor fingerprints ever reach
+that a pair at the threshold t shares none of n bands of r registers is
+(1 - t^r)^n; r is the largest that keeps it under MISS. Components are found by joins; neither links nor fingerprints ever reach
 the driver.
 
 Nulls and texts without words have no set and are linked with nothing. Rows
@@ -40,11 +40,13 @@ from .common import prepare, staged
 from .graph import components
 from .hashing import in_blocks, mix, shingles, word_hashes
 
-BANDS, ROWS = 48, 8
+REGISTERS = 384
+#: The most that a pair at the threshold may be missed with.
+MISS = 1e-6
 BASE, RATE, LEVELS = 1.02, 20.0, (1 << 16) - 2
 KEPT = 128  # registers kept for the estimate
 SIGMAS = 5.0
-_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**32, (2, BANDS * ROWS), np.uint32)
+_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**32, (2, REGISTERS), np.uint32)
 _SEEDS[0] |= np.uint32(1)
 
 
@@ -61,10 +63,16 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)) + 100, 0, LEVELS + 1).astype(np.uint16)
 
 
-def bands(registers: np.ndarray) -> np.ndarray:
-    r = registers.astype(np.uint64).reshape(BANDS, ROWS)
-    h = np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
+def band_rows(threshold: float) -> int:
+    """The most registers a band can have if pairs at the threshold are to share one but for a chance of MISS."""
+    return max(r for r in range(1, 33) if r == 1 or (1 - threshold**r) ** (REGISTERS // r) <= MISS)
+
+
+def bands(registers: np.ndarray, rows: int) -> np.ndarray:
+    n = len(registers) // rows
+    r = registers[: n * rows].astype(np.uint64).reshape(n, rows)
+    h = np.arange(n, dtype=np.uint64)
+    for j in range(rows):
         h = mix(h ^ r[:, j] << np.uint64(7), j)
     return h.view(np.int64)
 
@@ -97,7 +105,7 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield shingles(words[z - n : z], k)
 
 
-def sketched(docs: DataFrame, k: int) -> DataFrame:
+def sketched(docs: DataFrame, k: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, the digest of the set, band keys and kept registers."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -108,7 +116,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 digests.append(np.array([mix(s, 11).sum(), mix(s, 12).sum()], np.uint64).tobytes() if len(s) else None)
                 registers = sketch(s) if len(s) else None
-                keys.append(bands(registers) if len(s) else None)
+                keys.append(bands(registers, rows) if len(s) else None)
                 kept.append(registers[::3].tobytes() if len(s) else None)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "registers"])
 
@@ -157,7 +165,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """doc_id, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
     prepare(spark)
-    all_rows = staged(sketched(docs, shingle_words), "sketches")
+    all_rows = staged(sketched(docs, shingle_words, band_rows(percent / 100)), "sketches")
     classes = staged(all_rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # one row of each class stands for it
     reps = all_rows.where("doc_id IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("_d")), "doc_id").where("digest = _d").dropDuplicates(["doc_id"])
