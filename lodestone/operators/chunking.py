@@ -51,7 +51,7 @@ def _blocks(files: DataFrame, header: Line, symbol: Line, kind: str, keep_preamb
     header tells whether a line begins a block, symbol names it.
     """
     rows = files.where(~is_blank(F.col("content"))).select("file_id", lines(F.col("content")).alias("_lines"))
-    heads = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: header(F.element_at(F.col("_lines"), i)))
+    heads = F.array_compact(F.transform("_lines", lambda l, i: F.when(header(l), i + 1)))  # noqa: E741
     rows = rows.withColumn("_heads", heads)
     first = F.when(F.size("_heads") == 0, F.lit(None)).otherwise(F.try_element_at("_heads", F.lit(1)))
     starts = F.when(F.size("_heads") == 0, F.array(F.lit(1))).when(first == 1, F.col("_heads")).otherwise(F.concat(F.array(F.lit(1)), F.col("_heads"))) if keep_preamble else F.col("_heads")
@@ -60,7 +60,7 @@ def _blocks(files: DataFrame, header: Line, symbol: Line, kind: str, keep_preamb
     rows = rows.withColumn("end_line", F.coalesce(F.try_element_at("_starts", F.col("ord") + 2) - 1, F.size("_lines")))
     content = F.array_join(F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
     at_head = F.array_contains("_heads", F.col("start_line"))
-    named = F.when(at_head, symbol(F.element_at(F.col("_lines"), F.col("start_line"))))
+    named = F.when(at_head, symbol(F.try_element_at("_lines", F.col("start_line"))))
     if keep_preamble:  # a preamble before a section has an empty name, a file without sections none
         named = F.when(at_head, named).when(F.size("_heads") > 0, F.lit(""))
     out = rows.select("file_id", "ord", content.alias("content"), named.alias("symbol"), F.lit(kind).alias("symbol_kind"), F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))

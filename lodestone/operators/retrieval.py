@@ -33,7 +33,7 @@ def reciprocal_rank_fusion(vector_hits: DataFrame, text_hits: DataFrame, k: int
     return out if k is None else out.limit(k)
 
 
-def rerank(chunks: DataFrame, score: Column, k: int, order: str = "score") -> DataFrame:
+def rerank(chunks: DataFrame, score: Column, k: int, order: str = "order") -> DataFrame:
     """The k best by a fresh score; ties keep the order they had (column ``order`` ascending rank)."""
     return chunks.withColumn("rerank_score", score).orderBy(F.desc("rerank_score"), order).limit(k)
 

@@ -43,7 +43,7 @@ def call_graph_stats(definitions: DataFrame, calls: DataFrame, files: DataFrame,
 def list_projects(projects: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Projects by name with their file and chunk counts."""
     f = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("file_count"))
-    c = chunks.join(files.select("file_id", "project_id"), "file_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    c = chunks.select("file_id").join(files.select("file_id", "project_id"), "file_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     out = projects.join(f, "project_id", "left").join(c, "project_id", "left").na.fill(0, ["file_count", "chunk_count"])
     return out.orderBy("name")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,19 +20,44 @@ BINARY_HEAD = 512
 SKIPPED = ("node_modules", "target")
 
 
+def _folder(root: str) -> str:
+    base = root.rstrip("/").split("://")[-1]
+    return base if base.startswith("/") else os.path.abspath(base)
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), modificationTime, length and content of every file below root; content is read only where it is used."""
+    """path (relative), length and content of the files below root that are not hidden; content is read only where it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1]
-    base = base if base.startswith("/") else os.path.abspath(base)
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^" + _quoted(base) + "/", "")
-    return files.select(relative.alias("path"), "modificationTime", "length", "content")
+    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^" + re.escape(_folder(root)) + "/", "")
+    return files.select(relative.alias("path"), "length", "content")
+
+
+def hidden_files(root: str) -> list[tuple[str, int]]:
+    """(relative path, length) of hidden files, and of files in hidden folders, below a mounted root: Spark's reader never lists these."""
+    base, found = _folder(root), []
+    for top, _, names in os.walk(base):
+        below = os.path.relpath(top, base)
+        for n in names:
+            path = n if below == "." else f"{below}/{n}"
+            if any(part.startswith((".", "_")) for part in path.split("/")) and not os.path.islink(os.path.join(top, n)):
+                found.append((path, os.path.getsize(os.path.join(top, n))))
+    return sorted(found)
+
 
+def read_hidden(spark: SparkSession, root: str) -> DataFrame:
+    """The hidden files in the columns of read_files; opened by the workers, so root must be mounted there."""
+    base = _folder(root)
 
-def _quoted(text: str) -> str:
-    import re
+    def run(batches):
+        for pdf in batches:
+            contents = []
+            for p in pdf["path"]:
+                with open(os.path.join(base, p), "rb") as f:
+                    contents.append(f.read())
+            yield pdf.assign(content=pd.Series(contents, dtype=object))
 
-    return re.escape(text)
+    listed = spark.createDataFrame(hidden_files(root), "path string, length long")
+    return listed.mapInPandas(run, "path string, length long, content binary")
 
 
 def is_likely_binary(content: Column) -> Column:
@@ -43,14 +69,15 @@ def is_likely_binary(content: Column) -> Column:
     return F.when(content.isNull(), True).otherwise(nuls > F.floor(n / 10))
 
 
-def ignore_rules(spark: SparkSession, root: str, config: Config, everything: bool = False) -> list[ignore.Rule]:
+def ignore_rules(root: str, config: Config, everything: bool = False) -> list[ignore.Rule]:
     """The rules in force below root: nested .gitignore files, the configured globs, dependency folders, and the project's own ignore file."""
     names = [config.indexing.ignore_file] + ([] if everything else [".gitignore", ".ignore"])
     found = []
-    for name in names:
-        for r in read_files(spark, root).where((F.col("path") == name) | F.col("path").endswith("/" + name)).orderBy(F.length("path"), "path").collect():
-            if name != config.indexing.ignore_file or r.path == name:
-                found.append((r.path[: -len(name)], bytes(r.content).decode("utf-8", "replace")))
+    for path, _ in hidden_files(root):
+        base, _, name = path.rpartition("/")
+        if name in names and (name != config.indexing.ignore_file or not base):
+            with open(os.path.join(_folder(root), path), encoding="utf-8", errors="replace") as f:
+                found.append((base + "/" if base else "", f.read()))
     rules = [] if everything else ignore.parse("\n".join(config.ignore_patterns + [d + "/" for d in DEPENDENCY_DIRS]))
     for base, text in sorted(found, key=lambda x: x[0].count("/")):
         rules += ignore.parse(text, base)
@@ -63,18 +90,20 @@ def walk(spark: SparkSession, root: str, config: Config | None = None, everythin
     By default hidden files, ignored ones, dependency folders, files over the
     size limit and binary ones are left out; ``everything`` keeps all but what
     the project's own ignore file, the size limit and the binary test exclude.
+    Files without bytes are not listed; they would have no chunks.
     Sizes are compared in the source, so large files are never read.
     """
     config = config or Config()
-    rules = ignore_rules(spark, root, config, everything)
+    rules = ignore_rules(root, config, everything)
 
     @F.pandas_udf(BooleanType())
     def kept(paths: pd.Series) -> pd.Series:
         return paths.map(lambda p: not ignore.ignored(p, rules))
 
-    files = read_files(spark, root).where(F.col("length") <= config.indexing.max_file_size_bytes)
-    if not everything:
-        files = files.where(~F.col("path").rlike(r"(^|/)\."))
+    most = config.indexing.max_file_size_bytes
+    files = read_files(spark, root).where(F.col("length") <= most)
+    if everything:
+        files = files.unionByName(read_hidden(spark, root).where(F.col("length") <= most))
     files = files.where(kept(F.col("path")))
     return files.where(~is_likely_binary(F.col("content"))).select("path", F.col("length").alias("size_bytes"), language_of(F.col("path")).alias("language"), "content")
 
