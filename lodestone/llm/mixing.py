@@ -156,11 +156,11 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     text = text_of()
     full = docs.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", text))
     full = full.withColumn("_again", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.col("source").isNull(), "source")))
-    other = copies.select(*[F.col(c).alias(f"_c{c}") for c in ROW], "size", "_spans", "_t")
+    other = copies.select(*[F.col(c).alias(f"_c{c}") for c in ROW], F.col("size").alias("_csize"), "_spans", "_t")
     out = full.join(other, _same_row())
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["a"] + 1).cast("int"), (s["z"] - s["a"]).cast("int")))), " ")
-    new = F.when(F.col("_t") == F.col("size"), F.col("text")).otherwise(some)
+    new = F.when(F.col("_t") == F.col("_csize"), F.col("text")).otherwise(some)
     out = out.withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

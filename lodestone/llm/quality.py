@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare
 
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max
     text = F.coalesce("text", F.lit(""))
     keep = 8 * train_bytes
     start = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.greatest(F.length(text) - keep + 1, F.lit(1))).cast("int") + 1
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substr(text, start, F.lit(keep)).alias("text")).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substr(text, start, F.lit(keep)).alias("text")).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     texts = [t.encode("utf-8", "surrogatepass") for t in rows["text"].to_pylist()]
     return fit(texts, rows["quality"].to_numpy().astype(np.float32), train_bytes=train_bytes)
 
@@ -198,8 +199,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
             s = scored(texts, net, tables) if net else np.full(len(texts), 0.5)
             yield pa.record_batch([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "_score", "_predicted"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
