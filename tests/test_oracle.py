@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def con():
 
 
 def rows(df):
-    missing = lambda x: x is None or x != x or str(x) == "<NA>"
+    missing = pd.isna
     value = lambda x: None if missing(x) else round(x, 6) if isinstance(x, float) and math.isfinite(x) else x
     return sorted((tuple(map(value, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None)), key=str)
 
