@@ -125,7 +125,8 @@ def pieces(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float,
     length = F.expr(f"CAST(ceil(source_size / ceil(source_size / {block_words}D)) AS BIGINT)")
     inside = rows.where("size > 0").withColumn("_len", length).withColumn("block", F.explode(F.expr("sequence(_start div _len, (_start + size - 1) div _len)")))
     inside = inside.withColumns({"_lo": F.expr("greatest(_start, block * _len) - block * _len"), "_hi": F.expr("least(_start + size, (block + 1) * _len) - block * _len"), **null_safe})
-    drawn = inside.join(taken, same)
+    # slots come from one row per source, by which Spark would take them for small enough to broadcast
+    drawn = inside.join(taken.hint("merge"), same)
     # of the slots of a block, at most one is short; it takes the first _least words
     short = F.when(F.col("_least") < F.col("_len"), F.col("_least")).otherwise(F.col("_len"))
     drawn = drawn.withColumns({"_full": F.when(F.col("_least") < F.col("_len"), F.col("_times") - 1).otherwise(F.col("_times")), "_cut": F.when(F.col("_least") < F.col("_len"), F.greatest(F.col("_lo"), F.least(F.col("_hi"), short))).otherwise(F.col("_lo"))})
