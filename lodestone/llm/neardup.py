@@ -2,24 +2,27 @@
 
 A text's set is its distinct k-word shingles. Its sketch has registers of
 exponentially spaced truncated minima: for register i, the least value of an
-exponential hash over the set, on a logarithmic scale of base BASE, truncated.
-Sketches of parts merge by maximum; two registers agree with a chance a little
-over the similarity. Some registers make a band; documents that share a band
-are candidates. Similarity is estimated jointly from the counts of registers
-that are greater, less and equal, with both set sizes known, by maximum
-likelihood; candidates far under the threshold are dropped by it (SIGMAS
-standard errors), all others are verified on their full sets.
+exponential hash over the set, on a logarithmic scale of base BASE, truncated to
+a byte. Sketches of parts merge by maximum; two registers agree with a chance a
+little over the similarity. Some registers make a band; documents that share a
+band, a bucket, are candidates. Similarity is estimated jointly from the counts
+of registers that are greater, less and equal, with both set sizes known, by
+maximum likelihood; candidates far under the threshold (SIGMAS standard errors)
+are dropped by it, all others are verified on their full sets.
 
 Texts with equal sets are one class, represented by its smallest doc_id. In a
-bucket, members are compared with a few pivots, never with one another: after a
-round, buckets whose members already lie in one component are settled, pivots,
-having been compared with every member, leave the rest, and the rest goes into
-the next round with more pivots. So groups of any size take a linear number of
-comparisons as long as they hold together, and no link is given up: a pair that
-shares a band is compared or its documents are connected already. The chance
-that a pair at the threshold t shares none of n bands of r registers is
-(1 - t^r)^n; r is the largest that keeps it under MISS. Components are found by joins; neither links nor fingerprints ever reach
-the driver.
+bucket every member is compared with one pivot; what verifies is linked, and
+most buckets then lie in one component and are settled. In those that do not,
+each member outside the bucket's largest component, a straggler, is compared
+with all members of other components. Members are packed into blocks of bounded
+size for that, sketches side by side, so a task compares blocks in numpy and
+only pairs that may reach the threshold become rows, each in the first band it
+shares. So a group of any size takes a linear number of rows as long as it holds
+together, and no link is given up: a pair that shares a band is compared, or its
+documents are connected already. The chance that a pair at the threshold t
+shares none of n bands of r registers is (1 - t^r)^n; r is the largest that
+keeps it under MISS. Components are found by joins; neither links nor
+fingerprints ever reach the driver.
 
 Nulls and texts without words have no set and are linked with nothing. Rows
 that share a doc_id are one vertex; a null doc_id takes the component of its
@@ -43,9 +46,11 @@ from .hashing import in_blocks, mix, shingles, word_hashes
 REGISTERS = 384
 #: The most that a pair at the threshold may be missed with.
 MISS = 1e-6
-BASE, RATE, LEVELS = 1.02, 20.0, (1 << 16) - 2
-KEPT = 128  # registers kept for the estimate
+#: With these, registers of sets of up to a billion shingles fit in a byte.
+BASE, RATE, TOP = 1.1, 20.0, 255
 SIGMAS = 5.0
+#: Mean numbers of members and of stragglers in a block.
+BLOCK, STRAGGLERS = 256, 64
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**32, (2, REGISTERS), np.uint32)
 _SEEDS[0] |= np.uint32(1)
 
@@ -53,14 +58,14 @@ _SEEDS[0] |= np.uint32(1)
 def sketch(items: np.ndarray) -> np.ndarray:
     """The registers of a set of 64-bit hashes."""
     low = (items >> np.uint64(32)).astype(np.uint32)
-    least = np.full(_SEEDS.shape[1], np.uint32(0xFFFFFFFF))
+    least = np.full(REGISTERS, np.uint32(0xFFFFFFFF))
     for a in range(0, len(low), 256):
         block = np.multiply(low[a : a + 256, None], _SEEDS[0][None, :])
         block += _SEEDS[1]
         np.minimum(least, block.min(axis=0), out=least)
     # the minimum of exponential hashes of rate RATE, truncated on a scale of base BASE
     h = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
-    return np.clip(np.floor(1 - np.log(h) / np.log(BASE)) + 100, 0, LEVELS + 1).astype(np.uint16)
+    return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, TOP).astype(np.uint8)
 
 
 def band_rows(threshold: float) -> int:
@@ -68,15 +73,6 @@ def band_rows(threshold: float) -> int:
     return max(r for r in range(1, 33) if r == 1 or (1 - threshold**r) ** (REGISTERS // r) <= MISS)
 
 
-def bands(registers: np.ndarray, rows: int) -> np.ndarray:
-    n = len(registers) // rows
-    r = registers[: n * rows].astype(np.uint64).reshape(n, rows)
-    h = np.arange(n, dtype=np.uint64)
-    for j in range(rows):
-        h = mix(h ^ r[:, j] << np.uint64(7), j)
-    return h.view(np.int64)
-
-
 def likelihood_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps: int = 40) -> np.ndarray:
     """Joint maximum-likelihood similarity of pairs of sketches (rows of a and b) of sets of na and nb items."""
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
@@ -105,38 +101,41 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield shingles(words[z - n : z], k)
 
 
-def sketched(docs: DataFrame, k: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, the digest of the set, band keys and kept registers."""
+def sketched(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, the digest of the set and the sketch."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, keys, kept = [], [], [], []
+            n, digests, kept = [], [], []
             for s in _sets(batch.column(1), k):
                 n.append(len(s))
                 digests.append(np.array([mix(s, 11).sum(), mix(s, 12).sum()], np.uint64).tobytes() if len(s) else None)
-                registers = sketch(s) if len(s) else None
-                keys.append(bands(registers, rows) if len(s) else None)
-                kept.append(registers[::3].tobytes() if len(s) else None)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "registers"])
+                kept.append(sketch(s).tobytes() if len(s) else None)
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, digest binary, sketch binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, digest binary, bands array<long>, registers binary")
+def _cut(percent: int) -> float:
+    """Estimates from here on may be of pairs that reach the threshold."""
+    t = percent / 100
+    return t - SIGMAS * float(np.sqrt(t * (1 - t) / REGISTERS))
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b) that may reach the threshold, with their estimate."""
     id_type = pairs.schema["a"].dataType.simpleString()
-    r = reps.select("doc_id", "n_shingles", "registers")
+    r = reps.select("doc_id", "n_shingles", "sketch")
     both = pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
-    t = percent / 100
-    least = t - SIGMAS * np.sqrt(t * (1 - t) / KEPT)
+    least = _cut(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy().astype(float) for c in (2, 3))
             if not len(na):
                 continue
-            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(na), KEPT) for c in (4, 5))
+            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(na), REGISTERS) for c in (4, 5))
             j = likelihood_estimate(ra, rb, na, nb)
             # sizes alone bound the similarity exactly
             keep = (j >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
@@ -145,6 +144,49 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {id_type}, b {id_type}, j double")
 
 
+def _straggling(rest: DataFrame, reps: DataFrame, rows: int, percent: int) -> DataFrame:
+    """Pairs (a, b, j) that may reach the threshold among rest(at, band, v, label): of each bucket's stragglers with members of other components."""
+    id_type = rest.schema["v"].dataType.simpleString()
+    per_label = rest.groupBy("at", "band", "label").agg(F.count(F.lit(1)).alias("c"))
+    per_band = per_label.groupBy("at", "band").agg(F.sum("c").alias("n"), F.max_by("label", "c").alias("main"), F.max("c").alias("most")).where("most < n")
+    full = rest.join(per_band, ["at", "band"]).join(reps.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("size"), "sketch"), "v")
+
+    def blocks(side: DataFrame, mean: int, count: str, names: list[str]) -> DataFrame:
+        slot = F.pmod(F.xxhash64("v"), F.ceil(F.col(count) / mean))
+        member = F.collect_list(F.struct("v", "label", "size", "sketch"))
+        return side.groupBy("at", "band", slot.alias("_slot")).agg(member.alias("x")).select("at", "band", *[F.col(f"x.{c}").alias(n) for c, n in zip(("v", "label", "size", "sketch"), names)])
+
+    few = blocks(full.where("label <> main").withColumn("s", F.col("n") - F.col("most")), STRAGGLERS, "s", ["sv", "sl", "sn", "sr"])
+    all_ = blocks(full, BLOCK, "n", ["mv", "ml", "mn", "mr"])
+    both = few.join(all_, ["at", "band"]).select("at", "sv", "sl", "sn", "sr", "mv", "ml", "mn", "mr")
+    least = _cut(percent)
+    numbers = lambda c, i: c[i].values.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_pylist()
+            cols = [batch.column(c) for c in range(1, 9)]
+            for i in range(batch.num_rows):
+                sv, sl, sn, mv, ml, mn = (numbers(cols[c], i) for c in (0, 1, 2, 4, 5, 6))
+                sr, mr = (np.frombuffer(b"".join(cols[c][i].as_py()), np.uint8).reshape(-1, REGISTERS) for c in (3, 7))
+                bands = mr[:, : REGISTERS // rows * rows].reshape(len(mr), -1, rows)
+                for v, label, n, r in zip(sv, sl, sn, sr):
+                    apart = np.flatnonzero((ml != label) & (100 * np.minimum(mn, n) >= percent * np.maximum(mn, n)))
+                    if not len(apart):
+                        continue
+                    # registers agree at least as often as the sets' similarity
+                    apart = apart[(mr[apart] == r).sum(axis=1) >= least * REGISTERS]
+                    shared = (bands[apart] == r[: bands.shape[1] * rows].reshape(-1, rows)).all(axis=2)
+                    apart = apart[shared.argmax(axis=1) == at[i]]
+                    if not len(apart):
+                        continue
+                    j = likelihood_estimate(np.broadcast_to(r, (len(apart), REGISTERS)), mr[apart], np.full(len(apart), float(n)), mn[apart].astype(float))
+                    apart, j = apart[j >= least], j[j >= least]
+                    yield pa.record_batch([pa.array(np.minimum(mv[apart], v)), pa.array(np.maximum(mv[apart], v)), pa.array(j)], ["a", "b", "j"])
+
+    return both.mapInArrow(run, f"a {id_type}, b {id_type}, j double").dropDuplicates(["a", "b"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs(a, b) whose full sets reach the threshold: 100 * intersection >= percent * union."""
     id_type = pairs.schema["a"].dataType.simpleString()
@@ -165,50 +207,39 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """doc_id, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
     prepare(spark)
-    all_rows = staged(sketched(docs, shingle_words, band_rows(percent / 100)), "sketches")
+    rows = band_rows(percent / 100)
+    all_rows = staged(sketched(docs, shingle_words), "sketches")
     classes = staged(all_rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # one row of each class stands for it
     reps = all_rows.where("doc_id IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("_d")), "doc_id").where("digest = _d").dropDuplicates(["doc_id"])
-    reps = staged(reps.select("doc_id", "n_shingles", "bands", "registers"), "representatives")
-    members = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("v"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    buckets = staged(members.join(shared, "band"), "buckets")
-    ids = buckets.select(F.col("v").alias("doc_id")).distinct()
-    texts = staged(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = staged(buckets.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0), "links")
-    labels = links.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    pivots_each, tested = 1, links
+    reps = staged(reps.select("doc_id", "n_shingles", "sketch"), "representatives")
+    bands = reps.select(F.col("doc_id").alias("v"), "sketch", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1))).alias("at"))
+    members = bands.select("at", F.xxhash64("at", F.expr(f"substring(sketch, at * {rows} + 1, {rows})")).alias("band"), "v")
+    heads = members.groupBy("at", "band").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("pivot")).where("n > 1").drop("n")
+    buckets = staged(members.join(heads, ["at", "band"]), "buckets")
+    texts = staged(docs.select("doc_id", "text").join(buckets.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    links = buckets.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
+    labels = buckets.select("v", F.col("v").alias("label")).limit(0)
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Those whose ends are not known to be connected."""
-        l = labels.select("v", "label")  # noqa: E741
-        out = pairs.join(l.toDF("a", "la"), "a", "left").join(l.toDF("b", "lb"), "b", "left")
-        return out.where("coalesce(la, a) <> coalesce(lb, b)").drop("la", "lb")
-
-    for k in range(40):
-        slot = F.pmod(F.xxhash64("v", F.lit(k)), F.lit(pivots_each))
-        pivots = staged(buckets.groupBy("band", slot.alias("_slot")).agg(F.min("v").alias("p")).select("band", "p"), f"pivots{k}")
-        pairs = buckets.join(pivots, "band").where("v <> p").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
-        if k:
-            pairs = apart(pairs.join(tested, ["a", "b"], "left_anti"))
-        pairs = staged(pairs, f"pairs{k}")
-        tested = tested.union(pairs)
-        likely = staged(_estimated(pairs, reps, percent), f"likely{k}")
-        # first the most similar partner of each document, then whatever is still apart
+        out = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+        return out.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+
+    def link(likely: DataFrame, name: str) -> None:
+        """Verifies the most similar partner of each document first, then whatever is still apart."""
+        nonlocal links, labels
         best = likely.groupBy("b").agg(F.max_by("a", "j").alias("a")).select("a", "b")
-        for part in (best, likely.select("a", "b")):
-            fresh = apart(part) if labels is not None and (k or part is not best) else part
-            found = staged(_verified(fresh, texts, shingle_words, percent), f"links{k}")
+        for k, part in enumerate((best, likely.select("a", "b"))):
+            found = staged(_verified(apart(part) if k else part, texts, shingle_words, percent), f"{name}{k}")
             if found.limit(1).count():
                 links = links.union(found)
                 labels = components(links)
-        rest = buckets.join(pivots.withColumnRenamed("p", "v"), ["band", "v"], "left_anti")
-        rest = rest.join(labels, "v", "left").select("band", "v", F.coalesce("label", "v").alias("label"))
-        unsettled = rest.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        buckets = staged(rest.join(unsettled, "band").select("band", "v"), f"rest{k}")
-        if not buckets.limit(1).count():
-            break
-        pivots_each = min(pivots_each * 8, 4096)
+
+    pairs = buckets.where("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct()
+    link(staged(_estimated(pairs, reps, percent), "likely"), "links")
+    rest = buckets.where("v <> pivot").join(labels, "v", "left").select("at", "band", "v", F.coalesce("label", "v").alias("label"))
+    link(staged(_straggling(rest, reps, rows, percent), "likelier"), "more")
     out = all_rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels.toDF("rep", "label"), "rep", "left")
     out = out.withColumn("component_id", F.coalesce("label", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
