@@ -17,12 +17,13 @@ each member outside the bucket's largest component, a straggler, is compared
 with all members of other components. Members are packed into blocks of bounded
 size for that, sketches side by side, so a task compares blocks in numpy and
 only pairs that may reach the threshold become rows, each in the first band it
-shares. So a group of any size takes a linear number of rows as long as it holds
-together, and no link is given up: a pair that shares a band is compared, or its
-documents are connected already. The chance that a pair at the threshold t
-shares none of n bands of r registers is (1 - t^r)^n; r is the largest that
-keeps it under MISS. Components are found by joins; neither links nor
-fingerprints ever reach the driver.
+shares; the best of each straggler and component go first, and what they link
+need not be compared again. So a group of any size takes a linear number of rows
+as long as it holds together, and no link is given up: a pair that shares a band
+is compared, or its documents are connected already. The chance that a pair at
+the threshold t shares none of n bands of r registers is (1 - t^r)^n; r is the
+largest that keeps it under MISS. Components are found by joins; neither links
+nor fingerprints ever reach the driver.
 
 Nulls and texts without words have no set and are linked with nothing. Rows
 that share a doc_id are one vertex; a null doc_id takes the component of its
@@ -43,12 +44,13 @@ from .common import prepare, staged
 from .graph import components
 from .hashing import in_blocks, mix, shingles, word_hashes
 
-REGISTERS = 384
-#: The most that a pair at the threshold may be missed with.
+#: Registers of a sketch, all of them for the estimate, and how many of them make bands.
+REGISTERS, BANDED = 1024, 384
+#: The most that a pair at the threshold may be missed with, by bands and again by the estimate.
 MISS = 1e-6
 #: With these, registers of sets of up to a billion shingles fit in a byte.
 BASE, RATE, TOP = 1.1, 20.0, 255
-SIGMAS = 5.0
+SIGMAS = 4.75  # the normal tail beyond it is MISS
 #: Mean numbers of members and of stragglers in a block.
 BLOCK, STRAGGLERS = 256, 64
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**32, (2, REGISTERS), np.uint32)
@@ -59,8 +61,8 @@ def sketch(items: np.ndarray) -> np.ndarray:
     """The registers of a set of 64-bit hashes."""
     low = (items >> np.uint64(32)).astype(np.uint32)
     least = np.full(REGISTERS, np.uint32(0xFFFFFFFF))
-    for a in range(0, len(low), 256):
-        block = np.multiply(low[a : a + 256, None], _SEEDS[0][None, :])
+    for a in range(0, len(low), 128):
+        block = np.multiply(low[a : a + 128, None], _SEEDS[0][None, :])
         block += _SEEDS[1]
         np.minimum(least, block.min(axis=0), out=least)
     # the minimum of exponential hashes of rate RATE, truncated on a scale of base BASE
@@ -70,7 +72,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
 
 def band_rows(threshold: float) -> int:
     """The most registers a band can have if pairs at the threshold are to share one but for a chance of MISS."""
-    return max(r for r in range(1, 33) if r == 1 or (1 - threshold**r) ** (REGISTERS // r) <= MISS)
+    return max(r for r in range(1, 33) if r == 1 or (1 - threshold**r) ** (BANDED // r) <= MISS)
 
 
 def likelihood_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps: int = 40) -> np.ndarray:
@@ -144,8 +146,11 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {id_type}, b {id_type}, j double")
 
 
-def _straggling(rest: DataFrame, reps: DataFrame, rows: int, percent: int) -> DataFrame:
-    """Pairs (a, b, j) that may reach the threshold among rest(at, band, v, label): of each bucket's stragglers with members of other components."""
+def _straggling(rest: DataFrame, reps: DataFrame, rows: int, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b, j) that may reach the threshold among rest(at, band, v, label): of each bucket's stragglers with members of other components.
+
+    ``best_only``: of each straggler and block, only the most similar member of every component.
+    """
     id_type = rest.schema["v"].dataType.simpleString()
     per_label = rest.groupBy("at", "band", "label").agg(F.count(F.lit(1)).alias("c"))
     per_band = per_label.groupBy("at", "band").agg(F.sum("c").alias("n"), F.max_by("label", "c").alias("main"), F.max("c").alias("most")).where("most < n")
@@ -169,7 +174,7 @@ def _straggling(rest: DataFrame, reps: DataFrame, rows: int, percent: int) -> Da
             for i in range(batch.num_rows):
                 sv, sl, sn, mv, ml, mn = (numbers(cols[c], i) for c in (0, 1, 2, 4, 5, 6))
                 sr, mr = (np.frombuffer(b"".join(cols[c][i].as_py()), np.uint8).reshape(-1, REGISTERS) for c in (3, 7))
-                bands = mr[:, : REGISTERS // rows * rows].reshape(len(mr), -1, rows)
+                bands = mr[:, : BANDED // rows * rows].reshape(len(mr), -1, rows)
                 for v, label, n, r in zip(sv, sl, sn, sr):
                     apart = np.flatnonzero((ml != label) & (100 * np.minimum(mn, n) >= percent * np.maximum(mn, n)))
                     if not len(apart):
@@ -182,6 +187,10 @@ def _straggling(rest: DataFrame, reps: DataFrame, rows: int, percent: int) -> Da
                         continue
                     j = likelihood_estimate(np.broadcast_to(r, (len(apart), REGISTERS)), mr[apart], np.full(len(apart), float(n)), mn[apart].astype(float))
                     apart, j = apart[j >= least], j[j >= least]
+                    if best_only and len(apart):
+                        order = np.argsort(-j, kind="stable")
+                        first = order[np.unique(ml[apart][order], return_index=True)[1]]
+                        apart, j = apart[first], j[first]
                     yield pa.record_batch([pa.array(np.minimum(mv[apart], v)), pa.array(np.maximum(mv[apart], v)), pa.array(j)], ["a", "b", "j"])
 
     return both.mapInArrow(run, f"a {id_type}, b {id_type}, j double").dropDuplicates(["a", "b"])
@@ -213,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     # one row of each class stands for it
     reps = all_rows.where("doc_id IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("_d")), "doc_id").where("digest = _d").dropDuplicates(["doc_id"])
     reps = staged(reps.select("doc_id", "n_shingles", "sketch"), "representatives")
-    bands = reps.select(F.col("doc_id").alias("v"), "sketch", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1))).alias("at"))
+    bands = reps.select(F.col("doc_id").alias("v"), "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDED // rows - 1))).alias("at"))
     members = bands.select("at", F.xxhash64("at", F.expr(f"substring(sketch, at * {rows} + 1, {rows})")).alias("band"), "v")
     heads = members.groupBy("at", "band").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("pivot")).where("n > 1").drop("n")
     buckets = staged(members.join(heads, ["at", "band"]), "buckets")
@@ -226,27 +235,33 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         out = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
         return out.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
 
-    def link(likely: DataFrame, name: str) -> None:
-        """Verifies the most similar partner of each document first, then whatever is still apart."""
+    def link(pairs: DataFrame, name: str) -> None:
+        """Verifies pairs and brings the labels up to date."""
         nonlocal links, labels
-        best = likely.groupBy("b").agg(F.max_by("a", "j").alias("a")).select("a", "b")
-        for k, part in enumerate((best, likely.select("a", "b"))):
-            found = staged(_verified(apart(part) if k else part, texts, shingle_words, percent), f"{name}{k}")
-            if found.limit(1).count():
-                links = links.union(found)
-                labels = components(links)
+        found = staged(_verified(pairs, texts, shingle_words, percent), name)
+        if found.limit(1).count():
+            links = links.union(found)
+            labels = components(links)
+
+    def rest() -> DataFrame:
+        """The buckets' members but their pivots, which have met all others."""
+        return buckets.where("v <> pivot").join(labels, "v", "left").select("at", "band", "v", F.coalesce("label", "v").alias("label"))
 
     pairs = buckets.where("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct()
-    link(staged(_estimated(pairs, reps, percent), "likely"), "links")
-    rest = buckets.where("v <> pivot").join(labels, "v", "left").select("at", "band", "v", F.coalesce("label", "v").alias("label"))
-    link(staged(_straggling(rest, reps, rows, percent), "likelier"), "more")
+    likely = staged(_estimated(pairs, reps, percent), "likely")
+    # first the most similar partner of each document, then whatever is still apart
+    link(likely.groupBy("b").agg(F.max_by("a", "j").alias("a")).select("a", "b"), "best")
+    link(apart(likely.select("a", "b")), "links")
+    # the same for stragglers: the best member of each component, then all of those still apart
+    link(_straggling(rest(), reps, rows, percent, best_only=True), "nearest")
+    link(_straggling(rest(), reps, rows, percent, best_only=False), "last")
     out = all_rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels.toDF("rep", "label"), "rep", "left")
     out = out.withColumn("component_id", F.coalesce("label", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one whose doc_id names it."""
+    """docs with one document of each component: the one whose doc_id names it. Documents without an id all stay."""
     kept = near_duplicates(docs, shingle_words, percent).where("kept").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return out.unionByName(docs.where("doc_id IS NULL"))
