@@ -35,7 +35,7 @@ from .common import WORD, staged, text_of, top_bits, word_count
 BLOCK_WORDS = 128
 SOURCE_BITS = 10
 OUTPUT_SHARDS = 64
-SLOT_RUN = 1 << 14
+SLOT_RUN = 1 << 12
 WALK = 100  # steps; each leaves the domain with a chance under a half
 ROW = ["doc_id", "_h", "_again"]
 
@@ -84,7 +84,8 @@ def with_blocks(sources: DataFrame, block_words: int) -> DataFrame:
 def draw_slots(blocks: DataFrame, seed: int, shards: int = OUTPUT_SHARDS) -> DataFrame:
     """One row per slot: source, slot, pass, output shard, block, and words taken from the block's start."""
     runs = blocks.where("_slots > 0").withColumn("_run", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {SLOT_RUN})")))
-    runs = runs.repartition("source", "_run")
+    # a run is a few bytes but many slots: with the number given, Spark does not put them all into one task
+    runs = runs.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_run")
     slots = runs.withColumn("slot", F.explode(F.expr(f"sequence(_run * {SLOT_RUN}, least(_slots, (_run + 1) * {SLOT_RUN}) - 1)")))
     slots = slots.withColumn("turn", F.expr("slot div _blocks"))
     key = F.xxhash64(F.lit(seed), "source", "turn")
