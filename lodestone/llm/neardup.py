@@ -45,7 +45,7 @@ from .graph import components
 from .hashing import in_blocks, mix, shingles, word_hashes
 
 #: Registers of a sketch, all of them for the estimate, and how many of them make bands.
-REGISTERS, BANDED = 1024, 384
+REGISTERS, BANDED = 640, 384
 #: The most that a pair at the threshold may be missed with, by bands and again by the estimate.
 MISS = 1e-6
 #: With these, registers of sets of up to a billion shingles fit in a byte.
