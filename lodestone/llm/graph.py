@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +13,26 @@ from .common import staged
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for every vertex of edges(a, b): the smallest vertex its component holds.
 
-    In a round, each vertex takes the smallest label of its neighbours, then the
-    label of its label, so paths shorten by halves and few rounds do. Every
-    round's labels are written to the shared folder. Vertices with very many
-    edges only meet in joins whose large side Spark can split and in minima
-    that are taken before the shuffle.
+    In a round, each vertex takes the smallest label of its neighbours, the vertex
+    that was its label takes that one too, and both then take the label of their
+    label. Hooking the old label keeps long chains of any order short: a round for
+    each doubling of their length or two. Labels only fall, and rounds go on until
+    none does. Every round's labels are written to the shared folder. Vertices with
+    very many edges only meet in joins whose large side Spark can split and in
+    minima that are taken before the shuffle.
     """
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().toDF("v", "u"), "edges")
     labels = staged(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("label")), "labels0")
-    for k in range(1, 64):
+    for k in count(1):
         near = both.join(labels.toDF("u", "l"), "u").groupBy("v").agg(F.min("l").alias("l"))
-        nearer = labels.join(near, "v").select("v", F.least("label", "l").alias("label"), F.col("label").alias("old"))
+        seen = labels.join(near, "v").select("v", "label", F.least("label", "l").alias("l"))
+        own = F.struct("v", "l", F.col("label").alias("old"))
+        hook = F.struct(F.col("label").alias("v"), "l", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        moved = seen.select(F.explode(F.when(F.col("l") < F.col("label"), F.array(own, hook)).otherwise(F.array(own))).alias("m")).select("m.*")
+        nearer = moved.groupBy("v").agg(F.min("l").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
         new = staged(nearer.join(jump, "label", "left").select("v", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), f"labels{k}")
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("v", "label")
         if not changed:
             return labels
-    raise RuntimeError("labels did not settle")

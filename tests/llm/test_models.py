@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import kneser_ney, media, neardup, quality, queries, urlfilter, vptree
+from lodestone.llm import graph, kneser_ney, media, neardup, quality, queries, urlfilter, vptree
 
 from .fixtures import LOW, WORDS, documents, fold, rows
 
@@ -152,6 +152,16 @@ def test_straggling_groups(spark):
     assert got == {i: c for i, (_, c) in brute_components(data, 3, 85).items()}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    import random
+
+    ids = list(range(500))
+    random.Random(0).shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(1000, 1001), (1002, 1001)]
+    got = {r.v: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: 0 for v in ids} | {v: 1000 for v in (1000, 1001, 1002)}
+
+
 def test_likelihood_estimate():
     rng = np.random.default_rng(2)
     for shared in (0, 300, 900):
