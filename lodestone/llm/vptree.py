@@ -17,7 +17,8 @@ equally and ties go to the smaller id.
 
 Vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part. Rows that share an id are candidates each,
-but never for a query of that id. Empty tables give no rows.
+but never for a query of that id; those of equal score to a query are one
+neighbour and take one of its k places. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -69,6 +70,16 @@ class Search:
         self.best = np.full((len(queries), k), -np.inf)  # cosines, best first
         self.rows = np.full((len(queries), k), -1, np.int64)
         self.scanned = 0
+        self.repeats = len(np.unique(ids)) < len(ids)
+
+    def distinct(self, cs: np.ndarray, rs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows of one id with equal cosines the first, behind k empty places."""
+        cs, rs = cs[rs >= 0], rs[rs >= 0]
+        order = np.lexsort((-cs, self.ids[rs]))
+        cs, rs = cs[order], rs[order]
+        again = (np.diff(self.ids[rs]) == 0) & (np.abs(np.diff(cs)) <= TIE)
+        first = np.concatenate([[True], ~again])[: len(rs)]
+        return np.concatenate([np.full(self.k, -np.inf), cs[first]]), np.concatenate([np.full(self.k, -1), rs[first]])
 
     def leaf(self, rows: np.ndarray, q: np.ndarray) -> None:
         c = self.queries[q] @ self.unit[rows].T
@@ -77,7 +88,9 @@ class Search:
         some = (c.max(axis=1) >= self.best[q, -1] - TIE).nonzero()[0]
         for i in some:
             cs = np.concatenate([self.best[q[i]], c[i]])
-            rs = np.concatenate([self.rows[q[i]], rows])
+            rs = np.concatenate([self.rows[q[i]], np.where(c[i] > -np.inf, rows, -1)])  # no row of the query's own id
+            if self.repeats:
+                cs, rs = self.distinct(cs, rs)
             # cosines within TIE are equal here; of equal ones the smaller id is nearer
             near = np.flatnonzero(cs >= np.partition(cs, -self.k)[-self.k] - TIE)
             ids = np.where(rs[near] >= 0, self.ids[rs[near]], np.iinfo(np.int64).max)

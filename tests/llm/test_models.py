@@ -207,6 +207,20 @@ def test_nearest_exact_and_edges(spark):
     assert vptree.nearest(v.limit(0)).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(9)
+    data = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
+    data += [(70, data[0][1])] * 10 + [(71, [x * 2.0**k for x in data[50][1]]) for k in range(10)]
+    v = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    for shard_rows in (8192, 40):
+        got = defaultdict(list)
+        for r in vptree.nearest(v, 5, 50, relax=1.0, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert got == {q: [i for _, i in n] for q, n in brute_nearest(data, 5, 50).items()}
+    few = vptree.nearest(v.where("vec_id IN (0, 1, 70)"), 5, 50).orderBy("rank").collect()
+    assert {r.vec_id for r in few} == {1, 70} and len(few) == 2
+
+
 def test_recall_at_production_parameters(spark):
     e = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").df()
     got = queries.op8_nearest_neighbours(spark, SF).toPandas()
