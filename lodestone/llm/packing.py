@@ -15,7 +15,8 @@ again packs the same way, and its number is part of the sequence number, so
 sequences of different packers never meet. Padding is under one window per
 partition; a table in very many tiny partitions should be coalesced first.
 
-Null and empty texts consist of the end id alone. Texts of any length are cut,
+Ids are those of byte_bpe_50k.json without special tokens added: an added token
+that stands in a text is its one id. Null and empty texts consist of the end id alone. Texts of any length are cut,
 never shortened. Repeated rows are packed each on its own. An empty table gives
 no rows. Other columns are ignored.
 """
@@ -35,6 +36,8 @@ from pyspark.sql import DataFrame
 from .common import prepare
 
 WINDOW = 1024
+#: Of byte_bpe_50k.json: matched in texts before anything else, blanks around it stay.
+ADDED = {"<|endoftext|>": 50256}
 END = 0
 SEQUENCES_PER_PARTITION = 1 << 40
 #: The vocabulary's pattern; SIMPLE differs from it only on runs of two or more blanks, and needs no look-ahead.
@@ -59,7 +62,15 @@ def encoder(ranks_path: str):
     simple = tiktoken.Encoding("simple", pat_str=SIMPLE, mergeable_ranks=ranks, special_tokens={})
     exact = tiktoken.Encoding("exact", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     blanks = regex.compile(r"\s\s")
-    return lambda text: (exact if blanks.search(text) else simple).encode_ordinary(text)
+    added = regex.compile("(" + "|".join(map(regex.escape, ADDED)) + ")")
+    plain = lambda text: (exact if blanks.search(text) else simple).encode_ordinary(text)
+
+    def encode(text: str) -> list[int]:
+        if not any(a in text for a in ADDED):
+            return plain(text)
+        return [i for part in added.split(text) for i in ([ADDED[part]] if part in ADDED else plain(part))]
+
+    return encode
 
 
 class Packer:

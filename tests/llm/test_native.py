@@ -164,6 +164,23 @@ def test_packing_round_trip(spark):
     assert sum(sum(n for _, n in s) < 1024 for s in used.values()) <= 3  # one short sequence a partition
 
 
+def test_added_tokens_in_texts(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in tok.get_added_tokens_decoder().items()} == packing.ADDED
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}x", f"two  {end}  blanks \n{end}\n", f"<|endoftext| {end[:-1]} <{end}>"]
+    got = packing.pack_documents(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        mine = [r for r in got if r.doc_id == i]
+        assert {r.doc_tokens for r in mine} == {len(ids)} and sum(r.length for r in mine) == len(ids)
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in mine)
+
+
 def test_sum_of_squares_rule():
     import random
 
