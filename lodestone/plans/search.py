@@ -36,10 +36,10 @@ def reranked(rows: DataFrame, query: str, reranker: Reranker | None, top_k: int)
 
 
 def hybrid(spark: SparkSession, sf_dir: str, embedder: Embedder | None = None) -> DataFrame:
-    """The flagship: the first benchmark text searched in the chunks of documents."""
+    """The flagship: the whole first benchmark text searched in the chunks of documents; the text list holds chunks with all its terms only."""
     embedder = embedder or HashingEmbedder(64)
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(1).collect()[0]
-    query = " ".join(item.text.split()[:3])
+    query = item.text
     chunks = t.chunks(spark, sf_dir)
     vectors = chunks.select("chunk_id", embedded(F.col("content"), embedder).alias("embedding"))
     index = fulltext.build_index(chunks, columns=("content",), stemming=False)

@@ -55,6 +55,17 @@ def test_prompt_and_sanitiser(spark):
     assert len(retrieval.nonce()) == 16 and len(retrieval.canary()) == 12
 
 
+def test_hybrid_takes_the_whole_text(spark):
+    from lodestone.plans import search, tables
+
+    d = "/root/testdata/sf0.001"
+    text = spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").first().text
+    got = {r.chunk_id: r.rerank_score for r in search.hybrid(spark, d).collect()}
+    chunks = tables.chunks(spark, d).where(F.col("chunk_id").isin(list(got)))
+    want = chunks.select("chunk_id", F.round(retrieval.lexical_score(text, F.col("content")), 6).alias("s")).collect()
+    assert len(got) == 10 and got == {r.chunk_id: r.s for r in want}
+
+
 def test_rerank_order(spark):
     rows = spark.createDataFrame([(0, 0.3), (1, 0.9), (2, 0.5), (3, 0.5)], "order int, s double")
     assert [r.order for r in retrieval.rerank(rows, F.col("s"), 3).collect()] == [1, 2, 3]
