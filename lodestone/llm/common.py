@@ -41,12 +41,50 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes the shuffle files of a step as soon as the step is over, not at some later garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: later steps neither recompute them nor depend on lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Steps(df.sparkSession).put(df, name)
+
+
+class Steps:
+    """Tables of one operator's steps, in a new shared folder; those that nothing reads any more can go before its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.number, self.paths = spark, shared_dir(spark), 0, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        path = f"{self.top}/{self.number}-{name}"
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes the files of tables that were put here."""
+        for t in tables:
+            _, path = self.paths.pop(id(t), (None, None))
+            if path:
+                remove(self.spark, path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes the files of all other tables."""
+        self.drop(*[t for t, _ in list(self.paths.values()) if all(t is not k for k in tables)])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_of(column: str = "text") -> Column:

@@ -152,6 +152,20 @@ def test_straggling_groups(spark):
     assert got == {i: c for i, (_, c) in brute_components(data, 3, 85).items()}
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    data = [(1, a), (1, b), (1, b), (2, a), (3, b), (3, b), (4, None), (4, ""), (None, a), (None, None)]
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in data], "doc_id long, text string, hash string, row string").repartition(3)
+    own = docs.where("doc_id = 1").orderBy(F.xxhash64("text")).first().text
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 3, 85).collect())
+    class_a, class_b = (1, 3) if own == a else (2, 1)
+    null_row = (None, 58, class_a, False)
+    want = Counter({(1, 58, 1, True): 3, (2, 58, class_a, class_a == 2): 1, (3, 58, class_b, class_b == 3): 2, (4, 0, 4, True): 2, null_row: 1, (None, 0, None, True): 1})
+    assert got == want
+    left = neardup.keep_one(docs, 3, 85).collect()
+    assert Counter(r.doc_id for r in left) == Counter({1: 1, 2 if own == b else 3: 1, 4: 1, None: 2}) and {r.text for r in left if r.doc_id == 1} == {own}
+
+
 def test_components_of_a_shuffled_chain(spark):
     import random
 
@@ -176,7 +190,7 @@ def test_likelihood_estimate():
 def test_bands_keep_the_miss_bound():
     for t in (0.8, 0.85, 0.9):
         r = neardup.band_rows(t)
-        assert (1 - t**r) ** (neardup.BANDED // r) <= neardup.MISS
+        assert (1 - t**r) ** (neardup.REGISTERS // r) <= neardup.MISS
 
 
 # nearest neighbours
