@@ -2,26 +2,28 @@
 
 Each source's words, its documents in a seeded order, form one stream that is
 packed into blocks of one fixed length. A source's target says how many of its
-blocks the mix draws. Every draw is a slot: its output shard is a uniform draw
-by hash, so the counts of a source over the output shards are multinomial
-given the target, and its block comes from a pseudorandom permutation of the
-source's block numbers (a Feistel network on the next power of two, walked
-until it lands inside; a new key for each pass through the source). Slots and
-the pieces of documents in each block are then joined by block number. The
-last slot takes a block's leading words, so that targets are met to the word
-but for a short last block.
+blocks the mix draws. For every output shard, the number of blocks it takes of
+each source is drawn: multinomial over the shards, given the source's total. The
+counts decide the slots: a shard owns so many consecutive slot numbers of the
+source, and a slot number becomes a block number by a pseudorandom permutation
+(a Feistel network on a grid just larger than the number of blocks, walked until
+it lands inside; a new key for each pass through the source). Slots and the
+pieces of documents in each block are then joined by block number. The last slot
+takes a block's leading words, so that targets are met to the word but for a
+short last block.
 
 Targets: weights repeat over the sources in code-point order, null last, and
 share ``share`` of all words; a target stops at ``cap`` times its source and
 the excess goes to the others by weight (closed form: sources sorted by size
 over weight, the capped ones first). A block is drawn at most ``cap`` times.
 
-Source totals, blocks and slots are DataFrames; only one row per source goes
+Source totals, counts and slots are DataFrames; only one row per source goes
 through a single window. Positions in a stream are offsets of hash buckets
 plus a sum in the bucket, so a source with a third of the words is spread out.
 Nulls: null texts have no words; null sources are one source; rows without
-words are kept with nothing taken. Repeated rows are separate rows. An empty
-table gives no rows; extra columns are ignored or, with texts, kept.
+words are kept with nothing taken. Repeated rows are separate rows. Texts of any
+length are cut at block ends, never shortened. An empty table gives no rows; extra
+columns, whatever their names, are ignored or, with texts, kept.
 """
 
 from __future__ import annotations
@@ -30,30 +32,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, staged, text_of, top_bits, word_count
+from .common import WORD, Steps, text_of, top_bits, word_count
 
-BLOCK_WORDS = 128
+BLOCK_WORDS = 1024
 SOURCE_BITS = 10
 OUTPUT_SHARDS = 64
 SLOT_RUN = 1 << 12
-WALK = 100  # steps; each leaves the domain with a chance under a half
-ROW = ["doc_id", "_h", "_again"]
+#: What a row is known by: two hashes of its id and text, and its number among rows alike.
+ROW = ["_h", "_g", "_again"]
 
 
 def permuted(index: Column, size: Column, key: Column) -> Column:
-    """A pseudorandom permutation of 0 .. size - 1, keyed, computed for one index."""
-    bits = F.length(F.bin(size - 1))
-    low = F.floor(bits / 2).cast("int")
-    mask = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+    """A pseudorandom permutation of 0 .. size - 1, keyed, computed for one index.
+
+    Rounds add hashes of one coordinate to the other on a grid of wide x high
+    cells. Cells from size on, fewer than a row of them, are walked out of: a walk
+    meets each of them once at most, so it always ends.
+    """
+    wide = F.ceil(F.sqrt(size)).cast("long")
+    high = F.ceil(size / wide).cast("long")
 
     def once(x: Column) -> Column:
-        a, b = F.call_function("shiftright", x, low), x.bitwiseAND(mask(low))
+        a, b = F.pmod(x, wide), F.floor(x / wide).cast("long")
         for r in (0, 2):
-            a = a.bitwiseXOR(F.xxhash64(b, key, F.lit(r)).bitwiseAND(mask(bits - low)))
-            b = b.bitwiseXOR(F.xxhash64(a, key, F.lit(r + 1)).bitwiseAND(mask(low)))
-        return F.call_function("shiftleft", a, low).bitwiseOR(b)
+            a = F.pmod(a + F.pmod(F.xxhash64(b, key, F.lit(r)), wide), wide)
+            b = F.pmod(b + F.pmod(F.xxhash64(a, key, F.lit(r + 1)), high), high)
+        return b * wide + a
+
+    def walked(first: Column) -> Column:
+        outside = F.when(first >= size, F.sequence(F.lit(1).cast("long"), wide * high - size)).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(outside, first, lambda x, _: F.when(x < size, x).otherwise(once(x)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(index), lambda x, _: F.when(x < size, x).otherwise(once(x)))
+    return F.transform(F.array(once(index)), walked)[0]
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -81,89 +91,118 @@ def with_blocks(sources: DataFrame, block_words: int) -> DataFrame:
     return s.withColumns({"_part": F.expr("_rest % _len"), "_slots": F.expr("_passes * _blocks + (_rest + _len - 1) div _len")})
 
 
+def _runs(rows: DataFrame, count: str) -> DataFrame:
+    """rows for every run of SLOT_RUN of 0 .. count - 1, and the numbers of each run as ``_i``: few bytes, but many numbers."""
+    runs = rows.where(f"{count} > 0").withColumn("_run", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {SLOT_RUN})")))
+    # with the number given, Spark does not put them all into one task
+    runs = runs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_run")
+    return runs.withColumn("_i", F.explode(F.expr(f"sequence(_run * {SLOT_RUN}, least({count}, (_run + 1) * {SLOT_RUN}) - 1)")))
+
+
+def draw_counts(blocks: DataFrame, seed: int, shards: int = OUTPUT_SHARDS) -> DataFrame:
+    """One row per source and output shard with blocks: their number ``_n``, multinomial over the shards, and how many are in shards before."""
+    drawn = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "_i"), F.lit(shards)).cast("int")
+    counts = _runs(blocks, "_slots").groupBy("source", drawn.alias("output_shard")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source").orderBy("output_shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
 def draw_slots(blocks: DataFrame, seed: int, shards: int = OUTPUT_SHARDS) -> DataFrame:
-    """One row per slot: source, slot, pass, output shard, block, and words taken from the block's start."""
-    runs = blocks.where("_slots > 0").withColumn("_run", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {SLOT_RUN})")))
-    # a run is a few bytes but many slots: with the number given, Spark does not put them all into one task
-    runs = runs.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_run")
-    slots = runs.withColumn("slot", F.explode(F.expr(f"sequence(_run * {SLOT_RUN}, least(_slots, (_run + 1) * {SLOT_RUN}) - 1)")))
+    """One row per slot: source, slot, turn (pass through the source), output shard, block, and words taken from the block's start."""
+    known = blocks.select(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("_k"), "_slots", "_blocks", "_len", "_part")
+    counts = draw_counts(blocks, seed, shards).withColumn("_k", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
+    slots = _runs(counts.join(known, "_k"), "_n").withColumn("slot", F.col("_first") + F.col("_i"))
     slots = slots.withColumn("turn", F.expr("slot div _blocks"))
-    key = F.xxhash64(F.lit(seed), "source", "turn")
+    block = permuted(F.expr("slot % _blocks"), F.col("_blocks"), F.xxhash64(F.lit(seed), "source", "turn"))
     last = (F.col("slot") == F.col("_slots") - 1) & (F.col("_part") > 0)
-    return slots.select("source", "slot", "turn", F.pmod(F.xxhash64(F.lit(seed + 1), "source", "slot"), F.lit(shards)).cast("int").alias("output_shard"), permuted(F.expr("slot % _blocks"), F.col("_blocks"), key).alias("block"), F.when(last, F.col("_part")).otherwise(F.col("_len")).alias("words"))
+    return slots.select("source", "slot", "turn", "output_shard", block.alias("block"), F.when(last, F.col("_part")).otherwise(F.col("_len")).alias("words"))
 
 
-def placed(docs: DataFrame, seed: int) -> DataFrame:
-    """Each row's identity, source, words and first position in its source's stream."""
+def _hashes(seed: int) -> dict[str, Column]:
     text = text_of()
-    rows = docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("_h"))
-    rows = rows.withColumn("_again", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.col("source").isNull(), "source")))
+    return {"_h": F.xxhash64(F.lit(seed), "doc_id", text), "_g": F.xxhash64(F.lit(seed + 1), text, "doc_id")}
+
+
+def _again() -> Column:
+    return F.row_number().over(Window.partitionBy("_h", "_g").orderBy(F.col("source").isNull(), "source"))
+
+
+def placed(docs: DataFrame, seed: int, steps: Steps) -> DataFrame:
+    """Each row's identity, source, words and first position in its source's stream."""
+    rows = docs.select("doc_id", "source", word_count(text_of()).alias("size"), *[c.alias(n) for n, c in _hashes(seed).items()])
+    rows = rows.withColumn("_again", _again())
     rows = rows.withColumns({"_b": top_bits(F.col("_h"), SOURCE_BITS), "_null": F.col("source").isNull(), "_src": F.coalesce("source", F.lit(""))})
-    rows = staged(rows, "sized")
+    rows = steps.put(rows, "sized")
     stratum = ["_null", "_src"]
     before = Window.partitionBy(*stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*stratum, "_b").agg(F.sum("size").alias("_c")).select(*stratum, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*stratum, "_b").orderBy("_h", "doc_id", "_again").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*stratum, "_b").orderBy("_h", "_g", "_again").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(offsets, [*stratum, "_b"]).withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return staged(out.select(*ROW, "source", "size", "_start"), "placed")
-
+    out = steps.put(out.select("doc_id", *ROW, "source", "size", "_start"), "placed")
+    steps.drop(rows)
+    return out
 
-def _same_row() -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("_cdoc_id")) & (F.col("_h") == F.col("_c_h")) & (F.col("_again") == F.col("_c_again"))
 
-
-def pieces(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with source_size and target; the pieces of rows in drawn blocks, with how often and how far each is taken)."""
-    rows = placed(docs, seed)
-    sources = staged(source_targets(rows, weights, share, cap), "sources")
+def pieces(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, block_words: int, seed: int, shards: int = OUTPUT_SHARDS) -> tuple[DataFrame, DataFrame]:
+    """(rows with source_size and target; what the slots take of rows: output_shard, turn, and words a .. z - 1 of the row)."""
+    steps = Steps(docs.sparkSession)
+    rows = placed(docs, seed, steps)
+    sources = steps.put(source_targets(rows, weights, share, cap), "sources")
     rows = rows.withColumn("_k", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
     keyed = sources.withColumn("_k", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))).drop("source")
     rows = rows.join(keyed, "_k").drop("_k")
-    blocks = with_blocks(sources, block_words)
     same = ["_null", "_src", "block"]
     null_safe = {"_null": F.col("source").isNull(), "_src": F.coalesce("source", F.lit(""))}
-    taken = draw_slots(blocks, seed).withColumns(null_safe).groupBy(*same).agg(F.sum("words").alias("_words"), F.max("words").alias("_whole"), F.min("words").alias("_least"), F.count(F.lit(1)).alias("_times"))
+    slots = draw_slots(with_blocks(sources, block_words), seed, shards).withColumns(null_safe).select(*same, "output_shard", "turn", "words")
     length = F.expr(f"CAST(ceil(source_size / ceil(source_size / {block_words}D)) AS BIGINT)")
     inside = rows.where("size > 0").withColumn("_len", length).withColumn("block", F.explode(F.expr("sequence(_start div _len, (_start + size - 1) div _len)")))
-    inside = inside.withColumns({"_lo": F.expr("greatest(_start, block * _len) - block * _len"), "_hi": F.expr("least(_start + size, (block + 1) * _len) - block * _len"), **null_safe})
+    inside = inside.withColumns({"_lo": F.expr("greatest(_start, block * _len)"), "_hi": F.expr("least(_start + size, (block + 1) * _len)"), **null_safe})
     # slots come from one row per source, by which Spark would take them for small enough to broadcast
-    drawn = inside.join(taken.hint("merge"), same)
-    # of the slots of a block, at most one is short; it takes the first _least words
-    short = F.when(F.col("_least") < F.col("_len"), F.col("_least")).otherwise(F.col("_len"))
-    drawn = drawn.withColumns({"_full": F.when(F.col("_least") < F.col("_len"), F.col("_times") - 1).otherwise(F.col("_times")), "_cut": F.when(F.col("_least") < F.col("_len"), F.greatest(F.col("_lo"), F.least(F.col("_hi"), short))).otherwise(F.col("_lo"))})
-    return rows, drawn.select(*ROW, "size", "_start", "block", "_len", "_lo", "_hi", "_full", "_cut")
+    drawn = inside.join(slots.hint("merge"), same).withColumn("_end", F.expr("least(_hi, block * _len + words)")).where("_end > _lo")
+    return rows, drawn.select(*ROW, "size", "output_shard", "turn", (F.col("_lo") - F.col("_start")).alias("a"), (F.col("_end") - F.col("_start")).alias("z"))
+
 
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 6, shards: int = OUTPUT_SHARDS) -> DataFrame:
+    """Of every row how many of its words the mix takes, and into which output shards.
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 6) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row: how many of its words the mix takes."""
-    rows, drawn = pieces(docs, weights, share, cap, block_words, seed)
-    words = drawn.groupBy(*ROW).agg(F.sum(F.expr("_full * (_hi - _lo) + _cut - _lo")).alias("_t"))
-    words = words.select(*[F.col(c).alias(f"_c{c}") for c in ROW], "_t")
-    out = rows.join(words, _same_row(), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_t", F.lit(0)).cast("long").alias("taken"))
+    doc_id, source, size, source_size, target, taken, and output_shards: structs of
+    output_shard and the words that go there, by shard.
+    """
+    rows, drawn = pieces(docs, weights, share, cap, block_words, seed, shards)
+    by_shard = drawn.groupBy(*ROW, "output_shard").agg(F.sum(F.col("z") - F.col("a")).alias("words"))
+    words = by_shard.groupBy(*ROW).agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("output_shard", "words"))).alias("output_shards"))
+    out = rows.join(words, ROW, "left")
+    none = F.array().cast("array<struct<output_shard:int,words:bigint>>")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("output_shards", none).alias("output_shards"))
 
 
-def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 6) -> DataFrame:
-    """The mix itself, in the columns of docs: a row per document and copy, with the words that copy takes.
+def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 6, shards: int = OUTPUT_SHARDS, shard_column: str = "output_shard") -> DataFrame:
+    """The mix itself: the columns of docs and the output shard, a row per document, output shard and pass.
 
-    A copy that takes the whole document keeps its text as it is; of others, the
+    A column of docs named like shard_column is replaced, all others are kept.
+    A row that takes the whole document keeps its text as it is; of others, the
     words taken are joined by blanks in their order. n_chars, if there, follows.
+    Texts are shuffled once.
     """
-    _, drawn = pieces(docs, weights, share, cap, block_words, seed)
-    at = F.expr("block * _len - _start")
-    # copy c holds what is taken more than c times: [_lo, _cut) is taken _full + 1 times, [_cut, _hi) _full times
-    spans = drawn.select(*ROW, "size", F.explode(F.expr("filter(array(named_struct('n', _full + 1, 'a', _lo, 'z', _cut), named_struct('n', _full, 'a', _cut, 'z', _hi)), s -> s.z > s.a AND s.n > 0)")).alias("s"), at.alias("_at"))
-    spans = spans.select(*ROW, "size", F.explode(F.expr("sequence(1L, s.n)")).alias("_copy"), (F.col("_at") + F.col("s.a")).alias("a"), (F.col("_at") + F.col("s.z")).alias("z"))
-    copies = spans.groupBy(*ROW, "size", "_copy").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("_spans"), F.sum(F.col("z") - F.col("a")).alias("_t"))
-    text = text_of()
-    full = docs.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", text))
-    full = full.withColumn("_again", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.col("source").isNull(), "source")))
-    other = copies.select(*[F.col(c).alias(f"_c{c}") for c in ROW], F.col("size").alias("_csize"), "_spans", "_t")
-    out = full.join(other, _same_row())
+    _, drawn = pieces(docs, weights, share, cap, block_words, seed, shards)
+    spans = drawn.groupBy(*ROW, "size", "output_shard", "turn").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans"), F.sum(F.col("z") - F.col("a")).alias("words"))
+    plan = spans.groupBy("_h", "_g").agg(F.collect_list(F.struct("_again", "output_shard", "turn", "spans", (F.col("words") == F.col("size")).alias("whole"))).alias("_all"))
+    full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "source", *[c.alias(n) for n, c in _hashes(seed).items()])
+    # rows alike are numbered after the join, by its own keys: no shuffle more
+    out = full.join(plan.hint("merge"), ["_h", "_g"]).withColumn("_again", _again())
+    text = text_of("row.text")
+
+    def made(words: Column) -> Column:
+        return F.transform("_mine", lambda p: F.when(p["whole"], text).otherwise(F.array_join(F.flatten(F.transform(p["spans"], lambda s: F.slice(words, (s["a"] + 1).cast("int"), (s["z"] - s["a"]).cast("int")))), " ")))
+
+    out = out.withColumn("_mine", F.sort_array(F.filter("_all", lambda p: p["_again"] == F.col("_again"))))
+    # the words of a text are found once, and only if something less than the whole is taken
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["a"] + 1).cast("int"), (s["z"] - s["a"]).cast("int")))), " ")
-    new = F.when(F.col("_t") == F.col("_csize"), F.col("text")).otherwise(some)
-    out = out.withColumn("text", new)
+    some = F.transform(F.array(words), made)[0]
+    texts = F.when(F.forall("_mine", lambda p: p["whole"]), F.transform("_mine", lambda p: text)).otherwise(some)
+    out = out.select("row", F.explode(F.arrays_zip(texts.alias("text"), F.col("_mine.output_shard").alias("shard"))).alias("new"))
+    new = {"text": F.col("new.text"), shard_column: F.col("new.shard")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("new.text").cast(docs.schema["n_chars"].dataType)
+    columns = docs.columns + [shard_column] * (shard_column not in docs.columns)
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns])

@@ -39,7 +39,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    shown = F.transform("output_shards", lambda s: F.concat_ws(":", s["output_shard"].cast("string"), s["words"].cast("string")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_join(shown, ",").alias("output_shards"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
