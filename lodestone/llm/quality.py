@@ -8,17 +8,20 @@ and averaged over the chunks, and a logistic unit combines both into one
 probability. For scoring, embedding and filters are folded into one table row
 per byte value and filter position.
 
-Training is by Adam on the driver, on at most ``max_train`` labelled rows (the
-bound; those of least seeded hash) of which at most ``train_bytes`` bytes each,
-a run at a random place, are read per epoch. Everything else reads all rows.
-Labels and other columns are never inputs. Classes weigh by their numbers and
-LEAN, and predictions are cut at 0.7.
+Training is by Adam on the driver, on a bounded sample of labelled rows: those of
+least seeded hash, at most ``max_train`` of them and at most ``max_bytes`` bytes of
+text together (a row that would pass that is not in the sample). Texts of the
+sample are read whole, and so is every text that is scored. Labels and other
+columns are never inputs. Classes weigh by their numbers and LEAN, and
+predictions are cut at 0.7.
 
 A null or empty text is scored as an empty chunk. Rows without a label are
 scored like all others; labels for unknown documents or null labels are not
-used; of several labels of one document the largest counts. Without labelled
-rows of both classes every score is 0.5. Repeated rows get equal scores, an
-empty table none.
+used; of several labels of one document the largest counts, of several texts of
+one the first by its hash. Without labelled rows of both classes every score is 0.5, no
+row is predicted good, and keep_good keeps all. Repeated rows get equal scores, an
+empty table none. Columns of docs named like a result are replaced in the scored
+table; keep_good leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -31,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import prepare
+from .common import Steps, prepare
 
 WIDTH, STRIDE, CHUNK = 8, 2, 256
 EMBED, FILTERS, HIDDEN = 8, 24, 16
 HALF = CHUNK // 2 // STRIDE  # filter positions in half a chunk
 THRESHOLD = 0.7
+#: Of the sample: rows, and bytes of text together.
+MAX_TRAIN, MAX_BYTES = 3000, 24 << 20
 #: Rows looked at in training, repeats counted (6 to 40 epochs).
 VISITS = 18_000
 #: A good document weighs this many times a bad one, so that few good ones are lost at the threshold.
@@ -101,7 +107,7 @@ def scored(texts: list[str | None], net: Network, tables: np.ndarray) -> np.ndar
     return out
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch: int = 16, train_bytes: int = 2048, rate: float = 4e-3, seed: int = 4) -> Network:
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch: int = 16, rate: float = 4e-3, seed: int = 4) -> Network:
     net, g = Network.fresh(seed), np.random.default_rng(seed)
     epochs = epochs or int(np.clip(VISITS // max(1, len(texts)), 6, 40))
     good = float(labels.mean())
@@ -116,9 +122,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
             grads = [np.zeros_like(a) for a in net.arrays()]
             tables = net.tables()
             for i in rows:
-                t = texts[i]
-                start = int(g.integers(0, max(1, len(t) - train_bytes + 1)))
-                _backward(net, tables, _padded(t[start : start + train_bytes]), float(labels[i]), float(weight[i]) / len(rows), grads)
+                _backward(net, tables, _padded(texts[i]), float(labels[i]), float(weight[i]) / len(rows), grads)
             step += 1
             lr = rate * min(1, step / 20) * (1 - 0.95 * step / steps)
             for a, d, (m, v) in zip(net.arrays(), grads, moments):
@@ -129,10 +133,14 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
 
 
 def _backward(net: Network, tables: np.ndarray, data: np.ndarray, label: float, weight: float, grads: list[np.ndarray]) -> None:
+    """Adds the gradients of a text's weighted logistic loss to grads."""
     halves = (len(data) - WIDTH) // (HALF * STRIDE)
-    f = _filtered(data, tables, 0, halves)
-    best = f.argmax(axis=1)
-    top = np.take_along_axis(f, best[:, None], 1)[:, 0]
+    best, top = [], []
+    for a in range(0, halves, BLOCK):
+        f = _filtered(data, tables, a, min(BLOCK, halves - a))
+        best.append(f.argmax(axis=1))
+        top.append(np.take_along_axis(f, best[-1][:, None], 1)[:, 0])
+    best, top = np.concatenate(best), np.concatenate(top)
     where = best + np.arange(halves)[:, None] * HALF  # filter position of each half chunk's maximum
     later = top[1:] > top[:-1]
     raw = np.where(later, top[1:], top[:-1]) + net.conv_b
@@ -155,54 +163,67 @@ def _backward(net: Network, tables: np.ndarray, data: np.ndarray, label: float,
     dp = (dh @ net.hid.T) * (raw > 0)
     grads[2] += dp.sum(axis=0)
     # only the maxima pass gradients on: WIDTH bytes for each chunk and filter
-    seen = data[where[:, :, None] * STRIDE + np.arange(WIDTH)]  # bytes under the filters
-    x = net.emb[seen].reshape(c, FILTERS, -1)
-    grads[1] += np.einsum("cfk,cf->kf", x, dp)
-    back = np.einsum("kf,cf->cfk", net.conv, dp).reshape(c, FILTERS, WIDTH, EMBED)
-    cells = seen[..., None].astype(np.int64) * EMBED + np.arange(EMBED)
-    grads[0] += np.bincount(cells.ravel(), back.ravel(), 256 * EMBED).reshape(256, EMBED).astype(np.float32)
+    for a in range(0, c, BLOCK):
+        d = dp[a : a + BLOCK]
+        seen = data[where[a : a + BLOCK, :, None] * STRIDE + np.arange(WIDTH)]  # bytes under the filters
+        grads[1] += np.einsum("cfk,cf->kf", net.emb[seen].reshape(len(d), FILTERS, -1), d)
+        back = np.einsum("kf,cf->cfk", net.conv, d).reshape(len(d), FILTERS, WIDTH, EMBED)
+        cells = seen[..., None].astype(np.int64) * EMBED + np.arange(EMBED)
+        grads[0] += np.bincount(cells.ravel(), back.ravel(), 256 * EMBED).reshape(256, EMBED).astype(np.float32)
 
 
 def fold(key: Column, folds: int = 4) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, train_bytes: int = 2048) -> Network | None:
-    """The network fitted on at most max_train labelled rows outside the held-out fold; None without both classes."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Network | None:
+    """The network fitted on a bounded sample of labelled rows outside the held-out fold; None without both classes."""
+    steps = Steps(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     # the classes separately, so that the rarer one is not lost; max_train ids at most are broadcast
     half = max_train // 2
-    order = [F.xxhash64(F.lit(4), "doc_id"), "doc_id"]
-    chosen = known.where("quality = 0").orderBy(*order).limit(half).union(known.where("quality = 1").orderBy(*order).limit(half)).collect()
-    if len({r.quality for r in chosen}) < 2:
-        return None
-    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int")
-    # of each, no more than a run of bytes for every epoch is sent
+    order = [F.xxhash64(F.lit(4), "doc_id"), F.col("doc_id")]
+    chosen = steps.put(known.where("quality = 0").orderBy(*order).limit(half).union(known.where("quality = 1").orderBy(*order).limit(half)), "chosen")
     text = F.coalesce("text", F.lit(""))
-    keep = 8 * train_bytes
-    start = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.greatest(F.length(text) - keep + 1, F.lit(1))).cast("int") + 1
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substr(text, start, F.lit(keep)).alias("text")).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    texts = [t.encode("utf-8", "surrogatepass") for t in rows["text"].to_pylist()]
-    return fit(texts, rows["quality"].to_numpy().astype(np.float32), train_bytes=train_bytes)
+    sized = docs.select("doc_id", F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("hash")).join(F.broadcast(chosen), "doc_id")
+    # max_train ids at most, so one window over them is bounded
+    sized = sized.groupBy("doc_id", "quality").agg(F.min(F.struct("hash", "size")).alias("t"))
+    total = F.sum("t.size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sample = steps.put(sized.select("doc_id", "quality", "t.hash", total.alias("total")).where(F.col("total") <= max_bytes), "sample")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(sample), ["doc_id", "hash"])
+    rows = rows.select("doc_id", "quality", "text").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    steps.drop(chosen, sample)
+    good = rows["quality"].to_numpy().astype(np.float32)
+    if len(set(good)) < 2:
+        return None
+    return fit([t.encode("utf-8", "surrogatepass") for t in rows["text"].to_pylist()], good)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with _score and _predicted."""
-    prepare(docs.sparkSession)
-    net = train(docs, labels, folds, held, max_train)
+def _with_scores(docs: DataFrame, net: Network | None, threshold: float) -> DataFrame:
+    """row (a struct of docs' columns), _score and _predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            texts = b.column(1).to_pylist()
             s = scored(texts, net, tables) if net else np.full(len(texts), 0.5)
-            yield pa.record_batch([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "_score", "_predicted"])
+            yield pa.record_batch([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["row", "_score", "_predicted"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text").mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """docs without those the classifier rejects."""
-    return score_quality(docs, labels, **parameters).where("_predicted = 1").select(*docs.columns)
+def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with _score and _predicted."""
+    prepare(docs.sparkSession)
+    rows = _with_scores(docs, train(docs, labels, folds, held, max_train), threshold)
+    mine = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("_score", "_predicted")]
+    return rows.select(*mine, "_score", "_predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those the classifier rejects; all of docs if there was nothing to learn from."""
+    prepare(docs.sparkSession)
+    net = train(docs, labels, folds, held, max_train)
+    return _with_scores(docs, net, threshold).where("_predicted = 1").select("row.*") if net else docs

@@ -85,6 +85,66 @@ def test_quality_edges(spark):
     assert {r._score for r in none} == {0.5} and {r._predicted for r in none} == {0}
 
 
+def test_quality_of_string_ids_and_clashing_columns(spark):
+    docs = documents(spark).withColumns({"doc_id": F.col("doc_id").cast("string"), "_score": F.lit("clash"), "_predicted": F.lit("clash"), "row": F.lit("clash"), "hash": F.lit("clash")})
+    labels = spark.createDataFrame([(str(i), i % 2) for i in range(40)], "doc_id string, quality int")
+    assert {type(r._score) for r in quality.score_quality(docs, labels).collect()} == {float}
+    kept = quality.keep_good(docs, labels)
+    assert kept.dtypes == docs.dtypes and {r._score for r in kept.collect()} <= {"clash"}
+    assert quality.keep_good(docs, labels.where("quality = 1")).count() == docs.count()
+
+
+def test_training_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, good: seen.append(texts))
+    data = documents(spark, [(i, "x" * 1000 if i % 3 else "y" * 90_000, "en", "s", 1) for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    quality.train(data, labels, max_train=60, max_bytes=1 << 30)
+    quality.train(data, labels, max_train=60, max_bytes=500_000)
+    assert len(seen[0]) == 60 and {len(t) for t in seen[0]} == {1000, 90_000}  # whole texts
+    assert sum(map(len, seen[1])) <= 500_000 and {len(t) for t in seen[1]} <= {1000, 90_000}
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(1)
+    net = quality.Network(*[a.astype(np.float64) for a in quality.Network.fresh(3).arrays()])
+    for n, label, weight in ((40, 1.0, 0.7), (1500, 0.0, 1.3)):
+        data = quality._padded(bytes(rng.integers(32, 127, n, dtype=np.uint8)))
+        grads = [np.zeros_like(a) for a in net.arrays()]
+        quality._backward(net, net.tables(), data, label, weight, grads)
+
+        def loss() -> float:
+            p = quality.scored([bytes(data[:n]).decode()], net, net.tables())[0]
+            return -weight * np.log(p if label else 1 - p)
+
+        for a, g in zip(net.arrays(), grads):
+            flat, slope = a.reshape(-1), g.reshape(-1)
+            for i in [*rng.integers(0, len(flat), 6), int(np.abs(slope).argmax())]:
+                old, step = flat[i], 1e-5
+                flat[i] = old + step
+                up = loss()
+                flat[i] = old - step
+                down = loss()
+                flat[i] = old
+                assert slope[i] == pytest.approx((up - down) / 2 / step, rel=1e-3, abs=1e-6)
+
+
+def test_scores_by_plain_loops():
+    net, half = quality.Network.fresh(5), quality.CHUNK // 2
+    for text in ("", "short", "Ein längerer Text, größer als ein Block. " * 12):
+        b = text.encode()
+        n = max(2, -(-len(b) // half))
+        b += bytes(n * half + quality.WIDTH - len(b))
+        hidden = []
+        for c in range(n - 1):
+            best = [max(net.conv_b[f] + sum(float(net.emb[b[c * half + p + j], e] * net.conv[j * quality.EMBED + e, f]) for j in range(quality.WIDTH) for e in range(quality.EMBED)) for p in range(0, quality.CHUNK, quality.STRIDE)) for f in range(quality.FILTERS)]
+            best = [max(x, 0) for x in best]
+            hidden.append([max(0, float(net.hid_b[u]) + sum(x * float(net.hid[f, u]) for f, x in enumerate(best))) for u in range(quality.HIDDEN)])
+        doc = [max(h) for h in zip(*hidden)] + [sum(h) / len(h) for h in zip(*hidden)]
+        z = float(net.out_b[0]) + sum(x * float(w) for x, w in zip(doc, net.out))
+        assert quality.scored([text], net, net.tables())[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
 def test_every_byte_is_seen():
     net = quality.Network.fresh()
     a = "x" * 5000
