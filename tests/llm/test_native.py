@@ -188,8 +188,23 @@ def test_secret_spans(spark):
         assert r.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest() and r.spans == written(spans), TEXTS[r.doc_id]
 
 
+def test_long_candidates_and_many_matches_take_linear_time(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+    low = "".join(rng.choice("xy1") for _ in range(1_000_000))  # one candidate of a million characters, of low entropy to its end
+    keyed = low[:-500] + "9fQ2xZ7Lw3Vb8Kd5Tn1R" + low[-480:]
+    many = "token=abcdef " * 20_000
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame([(0, low + "z"), (1, keyed), (2, many)], "doc_id long, text string")).collect()}
+    assert got[0].spans == "" and got[1].spans == "entropy_base64:0:1000000" and got[2].n_assign == 20_000
+    assert got[2].base_sha256 == hashlib.sha256(written(brute_spans(many)[0]).encode()).hexdigest()
+    assert time.time() - began < 90
+
+
 def test_redaction(spark):
-    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long")
+    d = clashing(spark.createDataFrame([(i, t, 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long"))
     for r in secrets.redact_secrets(d).collect():
         t = TEXTS[r.doc_id]
         if t is None:
@@ -201,7 +216,7 @@ def test_redaction(spark):
                 out, at = out + t[at:a] + secrets.MARK, z
             else:
                 at = max(at, z)
-        assert r.text == out + t[at:] and r.n_chars == len(r.text)
+        assert r.text == out + t[at:] and r.n_chars == len(r.text) and r["row"] == r["_base"] == "clash"
 
 
 def test_packing_round_trip(spark):
