@@ -39,6 +39,11 @@ def _folds() -> tuple[str, str]:
 ACCENTED, PLAIN = _folds()
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used; projections of their own may be merged again."""
+    return F.transform(F.array(value), use)[0]
+
+
 def folded(text: Column) -> Column:
     """Lower case without diacritics."""
     return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{Mn}+", "")
@@ -50,9 +55,9 @@ def tokens(text: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """B, KB, MB or GB on base 1024; one decimal from KB on."""
+    """B, KB, MB or GB on base 1024; one decimal from KB on, exact ties to the even digit."""
     kb, mb, gb = 1024, 1024**2, 1024**3
-    scaled = lambda unit, name: F.format_string(f"%.1f {name}", n / F.lit(float(unit)))
+    scaled = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(n / F.lit(float(unit)), 1))
     return F.when(n >= gb, scaled(gb, "GB")).when(n >= mb, scaled(mb, "MB")).when(n >= kb, scaled(kb, "KB")).otherwise(F.format_string("%d B", n.cast("long")))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lodestone.functions.text import once
+
 # Code points that do not show.
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0x2800, 0x3164, 0xFEFF, 0xFFA0]
 # Letters that look like Latin ones (small and capital), and three signs.
@@ -17,23 +19,31 @@ SIGNS = {"d": "∂", "p": "∏", "s": "∑"}
 # Line prefixes that assign a role; each hit counts ROLE_WEIGHT.
 ROLES = ["system:", "assistant:", "user:", "human:", "<|system|>", "<|assistant|>", "<|user|>", "<|im_start|>", "<|im_end|>", "[system]", "[inst]", "[/inst]", "<<sys>>", "<</sys>>", "### system", "### assistant", "### instruction", "<s>", "</s>", "[begin]"]
 ROLE_WEIGHT = 80
-# Phrases by weight, in hundredths.
-PHRASES = {
-    95: ["bypass all safety", "bypass all restrictions"],
-    90: ["ignore previous instructions", "ignore all instructions", "disregard previous instructions", "disregard all instructions", "forget your instructions", "override your instructions", "bypass your instructions"],
-    80: ["ignore all previous", "ignore everything above", "forget everything above", "forget all previous", "do anything now"],
-    70: ["ignore the above", "disregard the above", "jailbreak", "god mode"],
-    60: ["developer mode", "new instructions:", "updated instructions:", "revised instructions:", "do not follow your", "your new role is"],
-    50: ["you are now", "you must now", "pretend you are", "from now on you", "do not follow the", "instead of answering", "instead of following", "your new task is", "simulate being", "you will now", "you shall now"],
-    40: ["act as if", "respond as", "answer as", "behave as", "roleplay as", "act like", "effective immediately"],
-    30: ["starting now"],
-    20: ["previous message", "above message", "ignore that"],
-    10: ["never mind", "scratch that"],
-}
+# Phrases in the order in which they are reported, each with its weight in hundredths.
+STRONG = [
+    ("ignore previous instructions", 90), ("ignore all instructions", 90), ("ignore all previous", 80), ("ignore the above", 70),
+    ("ignore everything above", 80), ("disregard previous instructions", 90), ("disregard all instructions", 90), ("disregard the above", 70),
+    ("forget your instructions", 90), ("forget everything above", 80), ("forget all previous", 80), ("override your instructions", 90),
+    ("bypass your instructions", 90), ("bypass all safety", 95), ("bypass all restrictions", 95), ("jailbreak", 70), ("do anything now", 80),
+    ("developer mode", 60), ("god mode", 70),
+]
+MEDIUM = [
+    ("new instructions:", 60), ("updated instructions:", 60), ("revised instructions:", 60), ("you are now", 50), ("you must now", 50),
+    ("act as if", 40), ("pretend you are", 50), ("from now on you", 50), ("do not follow your", 60), ("do not follow the", 50),
+    ("instead of answering", 50), ("instead of following", 50), ("your new role is", 60), ("your new task is", 50), ("respond as", 40),
+    ("answer as", 40), ("behave as", 40), ("simulate being", 50), ("roleplay as", 40), ("act like", 40), ("you will now", 50), ("you shall now", 50),
+    ("starting now", 30), ("effective immediately", 40),
+]
+WEAK = [
+    ("previous message", 20), ("above message", 20), ("ignore that", 20), ("never mind", 10), ("scratch that", 10),
+]
+PHRASES = STRONG + MEDIUM + WEAK
 THRESHOLD = 0.5
 _CLASS = "".join(f"\\x{{{c:X}}}" for c in INVISIBLE)
 INVISIBLE_PATTERN = rf"[{_CLASS}\x00-\x08\x0B-\x1F\x7F-\x9F]"
 LOOKALIKE_PATTERN = "[" + "".join(LOOKALIKES.values()) + "]"
+#: A role marker after blanks at a line's start; what role_hits counts is among what this finds.
+_ROLE_PATTERN = r"(?m)^\s*(?:" + "|".join("".join(f"\\{c}" if c in "|[]" else c for c in r) for r in ROLES) + ")"
 _FROM = "".join(LOOKALIKES.values()) + "".join(SIGNS.values())
 _TO = "".join(k * len(v) for k, v in LOOKALIKES.items()) + "".join(SIGNS)
 
@@ -72,14 +82,18 @@ def role_hits(lines: Column) -> Column:
 
 
 def with_scan(rows: DataFrame, text: str = "text", threshold: float = THRESHOLD, composed: bool = True, out: str = "scan") -> DataFrame:
-    """rows with a struct(is_suspicious, confidence, matched_patterns); a null text is clean.
-
-    Each step is a projection of its own, so the normalized text is computed once.
-    """
+    """rows with a struct(is_suspicious, confidence, matched_patterns); a null text is clean."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = rows.withColumns({"_norm": normalized(t, composed), "_hidden": invisible_count(t), "_alike": lookalike_count(t)})
-    known = F.array(*[F.struct(F.lit(p).alias("name"), F.lit(w).alias("w")) for w, ps in PHRASES.items() for p in ps])
-    rows = rows.withColumns({"_roles": F.filter(role_hits(role_lines(F.col("_norm"))), lambda r: r["n"] > 0), "_phrases": F.filter(known, lambda p: F.contains(F.col("_norm"), p["name"]))})
+    known = F.array(*[F.struct(F.lit(p).alias("name"), F.lit(w).alias("w")) for p, w in PHRASES])
+
+    def found(norm: Column) -> Column:
+        # most texts hold no role marker: one pass over the text says so
+        roles = F.filter(role_hits(role_lines(norm)), lambda r: r["n"] > 0)
+        none = F.array().cast("array<struct<name:string,n:int>>")
+        return F.struct(F.when(norm.rlike(_ROLE_PATTERN), roles).otherwise(none).alias("roles"), F.filter(known, lambda p: F.contains(norm, p["name"])).alias("phrases"))
+
+    rows = rows.withColumns({"_found": once(normalized(t, composed), found), "_hidden": invisible_count(t), "_alike": lookalike_count(t)})
+    rows = rows.withColumns({"_roles": F.col("_found.roles"), "_phrases": F.col("_found.phrases")})
     total = lambda a, f: F.aggregate(a, F.lit(0), lambda s, x: s + f(x))
     score = F.least(F.col("_hidden") * 10, F.lit(30)) + F.when(F.col("_alike") >= 2, F.least(F.col("_alike") * 5, F.lit(30))).otherwise(0)
     score = F.least(score + total("_roles", lambda x: x["n"] * ROLE_WEIGHT) + total("_phrases", lambda x: x["w"]), F.lit(100))
@@ -87,7 +101,7 @@ def with_scan(rows: DataFrame, text: str = "text", threshold: float = THRESHOLD,
     signs = F.array_compact(F.array(F.when(F.col("_hidden") > 0, F.lit("invisible_characters")), F.when(F.col("_alike") >= 2, F.lit("homoglyphs"))))
     names = F.concat(signs, F.transform("_roles", lambda x: x["name"]), F.transform("_phrases", lambda x: x["name"]))
     found = F.struct((F.col("_score") >= round(threshold * 100)).alias("is_suspicious"), (F.col("_score") / 100.0).alias("confidence"), names.alias("matched_patterns"))
-    return rows.withColumn(out, found).drop("_norm", "_hidden", "_alike", "_roles", "_phrases", "_score")
+    return rows.withColumn(out, found).drop("_found", "_hidden", "_alike", "_roles", "_phrases", "_score")
 
 
 REDACTED = "[REDACTED]"
@@ -103,10 +117,22 @@ REDACTIONS = [
 ]
 
 
+#: Every text that one of the patterns matches holds one of these.
+_REDACTED_HOLD = r"://|PRIVATE KEY|A[KS]IA|gh[pousr]_|[spr]k[-_]|earer |password|passwd|secret|token|api_?key"
+
+
 def redact(text: Column) -> tuple[Column, Column]:
     """(the text with secrets replaced, how many were): one pattern after the other, each on what the one before left."""
-    t, n = F.coalesce(text, F.lit("")), F.lit(0)
-    for _, pattern, new in REDACTIONS:
-        n = n + F.regexp_count(t, F.lit(pattern))
-        t = F.regexp_replace(t, pattern, new)
-    return t, n
+
+    def replaced(done: Column, pattern: str, new: str) -> Column:
+        return once(done, lambda x: F.struct(F.regexp_replace(x["text"], pattern, new).alias("text"), (x["n"] + F.regexp_count(x["text"], F.lit(pattern))).alias("n")))
+
+    def all_of(t: Column) -> Column:
+        done = F.struct(t.alias("text"), F.lit(0).alias("n"))
+        for _, pattern, new in REDACTIONS:
+            done = replaced(done, pattern, new)
+        return done
+
+    t = F.coalesce(text, F.lit(""))
+    done = F.when(t.rlike(_REDACTED_HOLD), once(t, all_of)).otherwise(F.struct(t.alias("text"), F.lit(0).alias("n")))
+    return done["text"], done["n"]

@@ -220,15 +220,16 @@ def format_sizes(spark, d):
 # symbols, definitions, call graph
 
 
-@query("SELECT chunk_id, symbol, symbol_kind, path, start_line, end_line FROM symbols_ JOIN symbol_files_ USING (file_id) WHERE contains(lower(symbol), '_2') ORDER BY symbol, chunk_id LIMIT 20 OFFSET 5")
+@query("SELECT chunk_id, symbol, symbol_kind, path, start_line, end_line FROM symbols_ JOIN symbol_files_ USING (file_id) WHERE contains(lower(symbol), 'd_wi') ORDER BY symbol, chunk_id LIMIT 20 OFFSET 5")
 def search_symbols(spark, d):
-    return q.search_symbols(t.symbols(spark, d), t.symbol_files(spark, d), "_2", limit=20, offset=5)
+    return q.search_symbols(t.symbols(spark, d), t.symbol_files(spark, d), "D_Wi", limit=20, offset=5)
 
 
-@query("SELECT path, start_line, end_line, md5(content) AS content_md5 FROM chunks_ WHERE path = (SELECT arg_max(path, (size_bytes, -file_id)) FROM files_) AND end_line >= 50 AND start_line <= 120")
+@query("SELECT path, start_line, end_line, md5(content) AS content_md5 FROM chunks_ WHERE path = (SELECT arg_max(path, (end_line, -file_id)) FROM chunks_) AND end_line >= 50 AND start_line <= 120")
 def get_file_range(spark, d):
     f = t.files(spark, d)
-    path = f.orderBy(F.desc("size_bytes"), "file_id").limit(1).collect()[0].path
+    longest = t.chunks(spark, d).orderBy(F.desc("end_line"), "file_id").limit(1)
+    path = longest.select("file_id").join(f, "file_id").collect()[0].path
     return q.file_view(t.chunks(spark, d), f, path, start=50, end=120).select("path", "start_line", "end_line", F.md5("content").alias("content_md5"))
 
 
@@ -283,10 +284,10 @@ def knn_exact(spark, d):
 
 
 @query(f"""SELECT query_id, vec_id, rank, round(dist, 6) AS distance FROM (SELECT v.vec_id AS query_id, e.vec_id, {_D} AS dist, CAST(row_number() OVER (PARTITION BY v.vec_id ORDER BY round({_D}, 9), e.vec_id) AS INTEGER) AS rank
-FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id < 40) v ON e.vec_id <> v.vec_id) WHERE rank <= 5""")
+FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) v ON e.vec_id <> v.vec_id) WHERE rank <= 5""")
 def knn_batch(spark, d):
     e = t.read(spark, d, "embeddings")
-    queries = e.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vector.knn_batch(e, queries, 5, exclude_self=True).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
@@ -390,14 +391,14 @@ def rerank_lexical(spark, d):
     return top.select("chunk_id", F.round("rerank_score", 6).alias("score"))
 
 
-@query("SELECT chunk_id FROM (SELECT chunk_id, project_id, language FROM chunks_ ORDER BY chunk_id LIMIT 200) WHERE project_id IN (1, 2, 3, 5) AND language IN ('en', 'fr')")
+@query("SELECT chunk_id FROM chunks_ WHERE project_id IN (1, 2, 3, 5) AND language IN ('en', 'fr')")
 def scope_filter(spark, d):
     f = t.files(spark, d)
-    top = t.chunks(spark, d).join(f.select("file_id", "language"), "file_id").orderBy("chunk_id").limit(200)
-    return retrieval.in_scope(top, f.where("project_id IN (1, 2, 3, 5)"), ["EN", "fr"]).select("chunk_id")
+    found = t.chunks(spark, d).join(f.select("file_id", "language"), "file_id")
+    return retrieval.in_scope(found, f.where("project_id IN (1, 2, 3, 5)"), ["EN", "fr"]).select("chunk_id")
 
 
-@query("""WITH e AS (SELECT chunk_id % 7 AS query_id, row_number() OVER (PARTITION BY chunk_id % 7 ORDER BY chunk_id) AS ord, path, CAST(strlen('--- ' || path || ' (lines ' || start_line || '-' || end_line || ') ---' || chr(10) || content || chr(10) || chr(10)) AS BIGINT) AS n FROM chunks_ WHERE chunk_id < 200000 QUALIFY ord <= 30),
+@query("""WITH e AS (SELECT file_id // 10 AS query_id, row_number() OVER (PARTITION BY file_id // 10 ORDER BY chunk_id) AS ord, path, CAST(strlen('--- ' || path || ' (lines ' || start_line || '-' || end_line || ') ---' || chr(10) || content || chr(10) || chr(10)) AS BIGINT) AS n FROM chunks_),
 fold AS (SELECT query_id, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS used, MAP {}::MAP(VARCHAR, BIGINT) AS files, false AS stop, []::BIGINT[] AS picked FROM (SELECT DISTINCT query_id FROM e)
 UNION ALL SELECT f.query_id, e.ord, CASE WHEN f.stop OR f.used + e.n > 8192 OR coalesce(f.files[e.path], 0) + e.n > 3276 THEN f.used ELSE f.used + e.n END,
 CASE WHEN f.stop OR f.used + e.n > 8192 OR coalesce(f.files[e.path], 0) + e.n > 3276 THEN f.files ELSE map_concat(f.files, MAP {e.path: coalesce(f.files[e.path], 0) + e.n}) END,
@@ -405,8 +406,8 @@ f.stop OR f.used + e.n > 8192, CASE WHEN f.stop OR f.used + e.n > 8192 OR coales
 FROM fold f JOIN e ON e.query_id = f.query_id AND e.ord = f.ord + 1)
 SELECT query_id, array_to_string(arg_max(picked, ord), ',') AS picked, CAST(max(used) AS BIGINT) AS context_bytes FROM fold GROUP BY query_id""")
 def context_pack(spark, d):
-    c = t.chunks(spark, d).join(t.files(spark, d).select("file_id", "path"), "file_id").where("chunk_id < 200000").withColumn("query_id", F.col("chunk_id") % 7)
-    c = c.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where("ord <= 30")
+    c = t.chunks(spark, d).join(t.files(spark, d).select("file_id", "path"), "file_id").withColumn("query_id", F.expr("file_id div 10"))
+    c = c.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
     entry = retrieval.context_entry(F.lit(False), F.col("path"), F.lit(None).cast("string"), F.col("start_line"), F.col("end_line"), F.col("content"))
     packed = retrieval.pack_context(c.select("query_id", "ord", "path", entry.alias("entry")), 2048, by=("query_id",))
     return packed.select("query_id", F.array_join(F.col("picked").cast("array<string>"), ",").alias("picked"), F.octet_length("context").cast("long").alias("context_bytes"))

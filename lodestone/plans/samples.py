@@ -74,5 +74,5 @@ def score_sql(column: str) -> str:
     for m in ROLES:
         quoted = re.sub(r"([\[\]|<>/#\\.])", r"\\\1", m).replace("\\<", "<").replace("\\>", ">").replace("\\/", "/").replace("\\#", "#")
         parts.append(f"80 * len(regexp_extract_all({norm}, {_quoted('(?m)^[ \\t]*' + quoted)}))")
-    parts += [f"CASE WHEN contains({norm}, {_quoted(p)}) THEN {w} ELSE 0 END" for w, ps in PHRASES.items() for p in ps]
+    parts += [f"CASE WHEN contains({norm}, {_quoted(p)}) THEN {w} ELSE 0 END" for p, w in PHRASES]
     return " + ".join(parts)

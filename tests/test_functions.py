@@ -32,3 +32,16 @@ def test_tokens_fold(spark):
 
 def test_like_escape():
     assert text.like_escaped("a%b_c\\") == "%a\\%b\\_c\\\\%"
+
+
+def test_sizes_round_exact_ties_to_even(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.text import format_bytes
+
+    sizes = [0, 1023, 1024, 1280, 1331, 1332, 1792, 2304, 2816, 1310720, 1835008, 3 * 1024**3 // 2]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", format_bytes(F.col("n")).alias("s")).collect()
+    unit = lambda n: next((u, name) for u, name in ((1024**3, "GB"), (1024**2, "MB"), (1024, "KB"), (1, "B")) if n >= u or u == 1)
+    for r in got:  # as IEEE formatting rounds
+        u, name = unit(r.n)
+        assert r.s == (f"{r.n / u:.1f} {name}" if u > 1 else f"{r.n} B")

@@ -33,7 +33,7 @@ def test_query(spark, con, name):
         assert len(got)
     else:
         want = con.sql(sql).df()
-        assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+        assert len(got) and sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
 def test_entry(spark):

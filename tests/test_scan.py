@@ -28,3 +28,13 @@ def test_redaction(spark, text, n, gone):
     t, k = scan.redact(F.col("t"))
     r = spark.createDataFrame([(text,)], "t string").select(t.alias("t"), k.alias("k")).collect()[0]
     assert r.k == n and gone not in r.t and (n == 0 or scan.REDACTED in r.t)
+
+
+def test_patterns_are_reported_in_the_lists_order(spark):
+    from lodestone.operators.scan import MEDIUM, STRONG, WEAK, with_scan
+
+    names = [p for p, _ in STRONG + MEDIUM + WEAK]
+    text = "user: hi\n\n  [INST] x\u200b " + " ; ".join(reversed(names))
+    r = with_scan(spark.createDataFrame([(text,)], "text string")).first().scan
+    # phrases that hold others count too, in their places
+    assert r.matched_patterns == ["invisible_characters", "user:", "[inst]", *names] and r.confidence == 1.0
