@@ -9,31 +9,39 @@ triangle inequality, with the gap to the boundary multiplied by ``relax``,
 shows that it holds nothing nearer. relax = 1 is exact search; larger factors
 prune more. Ties at the boundary are always entered.
 
-Every query meets every shard: queries are dealt in blocks of QUERY_BLOCK, the
-rows of a shard go to one task per block, and only the k best per query and
-shard come out, merged by a window per query. Scores are recomputed from the
-original vectors in double precision, pair by pair, so equal vectors score
-equally and ties go to the smaller id.
+A shard's tree is built once, in one task, and stored with its vectors. Queries
+go past the stored trees in groups of at most GROUP_BYTES, broadcast one group
+after the other, so no vector is copied per query; a task keeps the k best of each
+query over all the trees it reads, prunes each tree by what those before have given,
+and only these k are shuffled and merged by a window per query. Scores are
+recomputed from the original vectors in double precision, pair by pair, so equal
+vectors score equally and ties go to the smaller id.
 
 Vectors that are null, zero, of another length than most, or hold a null or
-non-finite component take no part. Rows that share an id are candidates each,
-but never for a query of that id; those of equal score to a query are one
-neighbour and take one of its k places. Empty tables give no rows.
+non-finite component take no part. Repeated rows are one. Other rows that share an
+id are candidates each, but never for a query of that id; those of equal score to
+a query are one neighbour and take one of its k places. Other columns are ignored.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, staged
+from .common import Steps, prepare
 
 SHARD_ROWS, LEAF, QUERY_BLOCK = 8192, 128, 4096
+#: Of queries that travel at once.
+GROUP_BYTES = 32 << 20
 RELAX = 5.0
 TIE = 1e-12
 
@@ -65,7 +73,9 @@ def chord(cosine: np.ndarray) -> np.ndarray:
 class Search:
     """The k nearest rows for each of a block of queries; one pass over one tree."""
 
-    def __init__(self, unit: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, relax: float):
+    def __init__(self, unit: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, relax: float, floor: np.ndarray | None = None):
+        """floor: cosines that each query's k best of other shards reach already."""
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor
         self.unit, self.ids, self.queries, self.query_ids, self.k, self.relax = unit, ids, queries, query_ids, k, relax
         self.best = np.full((len(queries), k), -np.inf)  # cosines, best first
         self.rows = np.full((len(queries), k), -1, np.int64)
@@ -85,7 +95,7 @@ class Search:
         c = self.queries[q] @ self.unit[rows].T
         self.scanned += c.size
         c[self.ids[rows][None, :] == self.query_ids[q][:, None]] = -np.inf
-        some = (c.max(axis=1) >= self.best[q, -1] - TIE).nonzero()[0]
+        some = (c.max(axis=1) >= np.maximum(self.best[q, -1], self.floor[q]) - TIE).nonzero()[0]
         for i in some:
             cs = np.concatenate([self.best[q[i]], c[i]])
             rs = np.concatenate([self.rows[q[i]], np.where(c[i] > -np.inf, rows, -1)])  # no row of the query's own id
@@ -108,7 +118,7 @@ class Search:
         self.walk(node.inside, q[within])
         self.walk(node.outside, q[~within])
         # the other side holds nothing nearer than the gap
-        reach = chord(np.maximum(self.best[q, -1], -1)) + 1e-9
+        reach = chord(np.maximum(np.maximum(self.best[q, -1], self.floor[q]) - TIE, -1)) + 1e-9
         other = np.abs(gap) * self.relax <= reach
         self.walk(node.outside, q[within & other])
         self.walk(node.inside, q[~within & other])
@@ -119,16 +129,54 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float, seed: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query index, row, cosine, distances computed) of the k best per query in one shard."""
-    scale = lambda m: m / np.sqrt((m * m).sum(axis=1))[:, None]
-    unit = scale(vectors)
-    tree = build(unit, np.arange(len(ids)), np.random.default_rng(seed))
-    s = Search(unit, ids, scale(queries), query_ids, k, relax)
-    s.walk(tree, np.arange(len(queries)))
-    q, at = np.nonzero(s.rows >= 0)
-    rows = s.rows[q, at]
-    return q, rows, _exact(queries[q], vectors[rows]), s.scanned
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
+@dataclass
+class Shard:
+    ids: np.ndarray  # ascending
+    vectors: np.ndarray
+    tree: Node
+
+    @staticmethod
+    def of(ids: np.ndarray, vectors: np.ndarray, seed: int = 8) -> Shard:
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        return Shard(ids, vectors, build(_unit(vectors), np.arange(len(ids)), np.random.default_rng(seed)))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query index, row, cosine, distances computed) of the k best per query."""
+        s = Search(_unit(self.vectors), self.ids, _unit(queries), query_ids, k, relax, floor)
+        s.walk(self.tree, np.arange(len(queries)))
+        q, at = np.nonzero(s.rows >= 0)
+        rows = s.rows[q, at]
+        return q, rows, _exact(queries[q], self.vectors[rows]), s.scanned
+
+
+class Best:
+    """The k best of each query over any number of shards."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float):
+        self.query_ids, self.queries, self.k, self.relax = query_ids, queries, k, relax
+        self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query, id, score
+        self.floor = np.full(len(queries), -np.inf)
+        self.scanned = 0
+
+    def add(self, shard: Shard) -> None:
+        q, rows, score, scanned = shard.search(self.query_ids, self.queries, self.k, self.relax, self.floor)
+        self.scanned += scanned
+        q, ids, score = (np.concatenate(x) for x in zip(self.found, (q, shard.ids[rows], score)))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        new = np.concatenate([[True], (np.diff(q) != 0) | (np.diff(ids) != 0) | (np.diff(score) != 0)])[: len(q)]
+        q, ids, score = q[new], ids[new], score[new]
+        starts = np.searchsorted(q, q)
+        place = np.arange(len(q)) - starts
+        keep = place < self.k
+        last = place == self.k - 1
+        self.floor[q[last]] = score[last]
+        self.found = q[keep], ids[keep], score[keep]
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -143,23 +191,41 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, relax: float = RELA
     """query_id, rank, vec_id, score: the k nearest found for every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     prepare(spark)
-    rows = staged(usable(vectors, id_column, vector_column), "vectors")
+    steps = Steps(spark)
+    rows = steps.put(usable(vectors, id_column, vector_column).dropDuplicates(["id", "v"]), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
     width, n, asked = (sizes[0].d, sizes[0].n, sizes[0].q) if sizes else (1, 0, 0)
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // QUERY_BLOCK))
+    shards, groups = max(1, -(-n // shard_rows)), max(1, -(-8 * width * asked // GROUP_BYTES))
     rows = rows.where(F.size("v") == width)
-    # each shard's rows go to one task per block of queries, each block of queries to every shard
-    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = rows.where(F.col("id") % every == 0).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        left, right = left.sort_values("id"), right.sort_values("id")
-        ids, query_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        q, at, score, _ = search_shard(ids, np.stack(left["v"].to_numpy()), query_ids, np.stack(right["v"].to_numpy()), k, relax)
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[at], "score": score})
-
-    found = dealt.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
+
+    def stored(left: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [pickle.dumps(Shard.of(left["id"].to_numpy(), np.stack(left["v"].to_numpy())))]})
+
+    trees = steps.put(rows.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(shards))).applyInPandas(stored, "shard binary"), "trees")
+    queries = rows.where(F.col("id") % every == 0).withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    found = []
+    for group in range(groups):
+        got = queries.where(F.col("group") == group).select("id", "v").toArrow().sort_by("id")
+        ids = got["id"].to_numpy()
+        sent = spark.sparkContext.broadcast((ids, got["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, v = sent.value
+            best = [Best(ids[a : a + QUERY_BLOCK], v[a : a + QUERY_BLOCK], k, relax) for a in range(0, len(ids), QUERY_BLOCK)]
+            for batch in batches:
+                for blob in batch.column(0):
+                    shard = pickle.loads(blob.as_py())
+                    for b in best:
+                        b.add(shard)
+            for b in best:
+                q, near, score = b.found
+                yield pa.record_batch([pa.array(b.query_ids[q]), pa.array(near), pa.array(score)], ["query_id", "vec_id", "score"])
+
+        found.append(steps.put(trees.mapInArrow(run, "query_id long, vec_id long, score double"), "found"))
+        sent.destroy()
+    steps.keep(*found)
+    every_group = found[0]
+    for f in found[1:]:
+        every_group = every_group.union(f)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return every_group.dropDuplicates().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

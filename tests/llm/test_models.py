@@ -313,11 +313,40 @@ def test_relaxed_pruning_scans_less():
     rng = np.random.default_rng(6)
     v = rng.normal(size=(4000, 3))
     ids, q = np.arange(4000), np.arange(0, 4000, 50)
-    exact = vptree.search_shard(ids, v, q, v[q], 5, 1.0)
-    loose = vptree.search_shard(ids, v, q, v[q], 5, 4.0)
+    shard = vptree.Shard.of(ids, v)
+    exact, loose = shard.search(q, v[q], 5, 1.0), shard.search(q, v[q], 5, 4.0)
     assert loose[3] <= exact[3] < 0.5 * len(q) * 4000
 
 
+@pytest.mark.parametrize("width,most", [(4, 0.2), (64, 1.0)])
+def test_recall_and_scanned_share_over_ten_shards(width, most):
+    """At the production factor. In few dimensions little is scanned; 64 random ones allow next to no pruning."""
+    rng = np.random.default_rng(8)
+    v, ids = rng.normal(size=(10_240, width)), np.arange(10_240)
+    q = np.arange(0, 10_240, 50)
+    best = vptree.Best(q, v[q], 5, vptree.RELAX)
+    for shard in range(10):
+        best.add(vptree.Shard.of(ids[shard::10], v[shard::10]))
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    c = u[q] @ u.T
+    c[np.arange(len(q)), q] = -9
+    want = np.argsort(-c, axis=1)[:, :5]
+    at, near, _ = best.found
+    assert len(at) == 5 * len(q) and sum(i in want[a] for a, i in zip(at, near)) / len(at) >= 0.9
+    assert best.scanned <= most * len(q) * len(ids)
+
+
+def test_groups_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "GROUP_BYTES", 8 * 8 * 3)
+    monkeypatch.setattr(vptree, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(10)
+    data = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
+    got = defaultdict(list)
+    for r in vptree.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>"), 5, 20, relax=1.0, shard_rows=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for _, i in n] for q, n in brute_nearest(data, 5, 20).items()}
+
+
 # media
 
 
