@@ -7,35 +7,39 @@ membership of its candidates. The key universe, all distinct candidates of the
 table, is known in advance; level 0 of a cascade holds the listed keys, level 1
 the unlisted ones that pass level 0, level 2 the listed ones that pass level 1,
 and so on until no key passes wrongly. Membership is then exact for every key
-of the universe, and looking it up needs no join: the filters, whose size is
-checked against MAX_BITS, travel with the task. Lists too large for that are
-looked up by a join on the key instead.
+of the universe, and looking it up needs no join: the filters travel with the task.
+
+Their size follows the list, which the caller holds in memory, and not the table:
+the rate of level 0 is the share of listed keys, halved, so level 1 is expected to
+hold half as many keys as are listed, and each later level fewer; level 0 has
+1.45 log2(2 unlisted / listed) bits a key, under 100 for any table. The keys'
+hashes are seeded until no listed key shares its hash with an unlisted one.
 
 Bits are set in parts: each partition sets its own keys' bits, the parts are
 merged by word with bit_or. Urls that are null or without ``://`` have an empty
-host and path, no candidates, and are allowed. Repeated rows are judged one by
-one; empty tables give no rows; other columns are ignored.
+host and path, no candidates, and are allowed. Urls of any length are judged whole.
+Repeated rows are judged one by one; empty tables give no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, prepare, staged
+from .common import Steps, ascii_lower, prepare
 
 # The rules, as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Hosts that are blocked, subdomains included, where no rule speaks.
 BLOCKED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED_HOSTS = tuple(f"{site}.example.{top}" for site in BLOCKED_SITES for top in ("com", "net", "org"))
-#: 32 MB; a level beyond it is not broadcast.
-MAX_BITS = 1 << 28
 NONE, ALLOW, BLOCK = 0, 1, 2
 
 
@@ -54,10 +58,10 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when(F.length(host) > 0, keys).otherwise(F.array().cast("array<string>"))
 
 
-def _mixed(h: np.ndarray, level: int) -> np.ndarray:
-    """The hash of a key at a level (splitmix finaliser)."""
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of keys with a salt (splitmix finaliser)."""
     with np.errstate(over="ignore"):
-        z = h.view(np.uint64) + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        z = h.view(np.uint64) + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
@@ -70,9 +74,8 @@ class Level:
     words: np.ndarray  # uint64
 
     def positions(self, h: np.ndarray, level: int) -> np.ndarray:
-        z = _mixed(h, level)
-        a, b = z & np.uint64(0xFFFFFFFF), (z >> np.uint64(32)) | np.uint64(1)
-        return (a[:, None] + np.arange(self.hashes, dtype=np.uint64) * b[:, None]) % np.uint64(self.bits)
+        # each hash is mixed on its own: in a filter of a few hundred bits, sums of two would meet too often
+        return np.stack([_mixed(h, 64 * level + i) for i in range(self.hashes)], axis=1) % np.uint64(self.bits)
 
     def has(self, h: np.ndarray, level: int) -> np.ndarray:
         p = self.positions(h, level)
@@ -101,9 +104,11 @@ class Cascade:
         return out
 
 
-def build_cascade(keys: DataFrame, first_fp: float = 0.01, later_fp: float = 0.1, max_levels: int = 64) -> Cascade | None:
-    """The cascade over keys(_h long, listed boolean), the distinct universe; None if a level would pass MAX_BITS."""
+def build_cascade(keys: DataFrame, later_fp: float = 0.1) -> Cascade:
+    """The cascade over keys(_h long, listed boolean), the distinct universe, where no hash is both listed and not."""
     cascade = Cascade()
+    counts = {r.listed: r["count"] for r in keys.groupBy("listed").count().collect()}
+    first_fp = min(0.5, max(2.0**-64, 0.5 * counts.get(True, 0) / max(1, counts.get(False, 0))))
 
     def members(k: int) -> DataFrame:
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +118,13 @@ def build_cascade(keys: DataFrame, first_fp: float = 0.01, later_fp: float = 0.1
         mine = keys.where("listed" if k % 2 == 0 else "NOT listed").select("_h")
         return mine.mapInArrow(kept, "_h long") if k else mine
 
-    for k in range(max_levels):
+    for k in count():
         mine = members(k)
         n = mine.count()
         if not n:
             break
         fp = first_fp if k == 0 else later_fp
-        level = Level(max(64, int(np.ceil(n * 1.4427 * np.log2(1 / fp)))), max(1, round(np.log2(1 / fp))), np.zeros(0, np.uint64))
-        if level.bits > MAX_BITS:
-            return None
+        level = Level(max(64, int(np.ceil(n * 1.4427 * np.log2(1 / fp)))), min(64, max(1, round(np.log2(1 / fp)))), np.zeros(0, np.uint64))
 
         def parts(batches: Iterator[pa.RecordBatch], level: Level = level, k: int = k) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -138,6 +141,16 @@ def build_cascade(keys: DataFrame, first_fp: float = 0.01, later_fp: float = 0.1
     return cascade
 
 
+def hashed(key: Column | str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), key)
+
+
+def apart(keys: DataFrame, seed: int) -> bool:
+    """Whether no listed key of keys(key, listed) has the hash of an unlisted one."""
+    mine = keys.where("listed").select(hashed("key", seed).alias("_h"))
+    return keys.where("NOT listed").select(hashed("key", seed).alias("_h")).join(mine, "_h", "left_semi").isEmpty()
+
+
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS) -> DataFrame:
     """page_id, host, path, rule and verdict of every url. Of the rules that fit, the longest decides; of equally long ones, that of the longer host."""
     spark = pages.sparkSession
@@ -145,15 +158,17 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, bl
     lengths = sorted({len(r) - r.index("/") for _, r in rules} | ({0} if blocked_hosts else set()))
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_keys", candidates(F.col("host"), F.col("path"), lengths))
-    universe = staged(urls.select(F.explode("_keys").alias("key")).distinct(), "universe")
+    steps = Steps(spark)
+    universe = steps.put(urls.select(F.explode("_keys").alias("key")).distinct(), "universe")
     lists = {ALLOW: [r for v, r in rules if v == "allow"], BLOCK: [r for v, r in rules if v == "block"] + list(blocked_hosts)}
-    cascades: dict[int, Cascade | None] = {}
+    tagged = {}
     for side, keys in lists.items():
         listed = spark.createDataFrame([(k,) for k in keys], "key string")
-        tagged = universe.select("key", F.lit(False).alias("l")).union(listed.select("key", F.lit(True))).groupBy("key").agg(F.max("l").alias("listed"))
-        cascades[side] = build_cascade(staged(tagged.select(F.xxhash64("key").alias("_h"), "listed"), f"keys{side}"))
-    if None in cascades.values():  # too large to broadcast
-        return _joined(urls, spark, lists)
+        both = universe.select("key", F.lit(False).alias("l")).union(listed.select("key", F.lit(True))).groupBy("key").agg(F.max("l").alias("listed"))
+        tagged[side] = steps.put(both, f"keys{side}")
+    seed = next(n for n in count() if all(apart(t, n) for t in tagged.values()))
+    cascades = {side: build_cascade(t.select(hashed("key", seed).alias("_h"), "listed")) for side, t in tagged.items()}
+    steps.keep()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +181,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, bl
             yield pa.record_batch([*(b.column(c) for c in ("page_id", "host", "path", "_keys")), codes], ["page_id", "host", "path", "_keys", "_codes"])
 
     id_type = pages.schema["page_id"].dataType.simpleString()
-    found = urls.withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(k))).mapInArrow(look_up, f"page_id {id_type}, host string, path string, _keys array<string>, _codes array<tinyint>")
+    found = urls.withColumn("_hashes", F.transform("_keys", lambda k: hashed(k, seed))).mapInArrow(look_up, f"page_id {id_type}, host string, path string, _keys array<string>, _codes array<tinyint>")
     return _judged(found)
 
 
@@ -177,12 +192,3 @@ def _judged(found: DataFrame) -> DataFrame:
     rows = found.select("page_id", "host", "path", best.alias("_best"), F.exists(hits, lambda x: (x["code"] == BLOCK) & ~F.contains(x["key"], F.lit("/"))).alias("_listed"))
     blocked = F.when(F.col("_best").isNotNull(), F.col("_best.code") == BLOCK).otherwise(F.col("_listed"))
     return rows.select("page_id", "host", "path", F.col("_best.key").alias("rule"), F.when(blocked, "block").otherwise("allow").alias("verdict"))
-
-
-def _joined(urls: DataFrame, spark, lists: dict[int, list[str]]) -> DataFrame:
-    """The same decision by a join on the key, for lists beyond MAX_BITS."""
-    listed = spark.createDataFrame([(k, side) for side, keys in lists.items() for k in keys], "_key string, _code tinyint")
-    rows = urls.withColumn("_row", F.monotonically_increasing_id())
-    rows = staged(rows, "urls")
-    hits = rows.select("_row", F.explode("_keys").alias("_key")).join(listed, "_key").groupBy("_row").agg(F.collect_list("_key").alias("_keys"), F.collect_list("_code").alias("_codes"))
-    return _judged(rows.drop("_keys").join(hits, "_row", "left").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("_keys", "array<string>"), ("_codes", "array<tinyint>"))}))

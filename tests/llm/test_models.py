@@ -54,8 +54,15 @@ def test_cascade_is_exact(spark):
     assert len(c.levels) >= 2 and (c.listed(got["_h"].to_numpy()) == got["listed"].to_numpy()).all()
 
 
-def test_lists_beyond_the_bound_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "MAX_BITS", 0)
+def test_filters_follow_the_list_and_not_the_table(spark):
+    for n in (2000, 200_000):
+        keys = spark.range(n).select(F.xxhash64("id").alias("_h"), (F.col("id") < 20).alias("listed"))
+        levels = urlfilter.build_cascade(keys).levels
+        assert sum(level.bits for level in levels) < 20 * 100 + 64 * len(levels) and len(levels) < 20
+
+
+def test_hashes_are_seeded_until_lists_are_apart(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "hashed", lambda key, seed: F.xxhash64(key) if seed > 1 else F.length(key).cast("long"))
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     assert {tuple(r) for r in urlfilter.filter_urls(pages).collect()} == {(i, *brute_url(u)) for i, u in enumerate(URLS)}
 
