@@ -13,6 +13,10 @@ run per key range; a range's runs are merged in one task and written as arrays.
    words (distinct predecessors).
 3. Those are summed by word range and written beside the word hashes.
 
+The numbers of ranges and of bigram parts follow the bytes and tokens counted, so
+what a task merges stays as large as it is. Word ids are 32 bits wide: a corpus of
+over four billion distinct words is refused.
+
 The driver sees per range a few totals only. Discounts follow Chen and Goodman
 from the counts of counts; the lower order uses continuation counts and is
 interpolated with 1 / (V + 1), so unknown words have a probability. Scoring maps
@@ -47,6 +51,10 @@ END_HASH = np.uint64(0x9AE16A3B2F90404F)
 FLUSH = 3_000_000
 #: A context with more than this share of a range's mean load is dealt by the whole key.
 HOT_SHARE = 0.25
+#: What one task merges, at most about: the words of so many bytes of text, the bigrams of so many tokens.
+RANGE_BYTES, SEGMENT_TOKENS = 64 << 20, 2_000_000
+#: Arrays that a worker keeps mapped.
+MAPPED = 512
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:
@@ -152,15 +160,20 @@ class Model:
 
     def array(self, name: str) -> np.ndarray:
         if name not in self.files:
+            if len(self.files) >= MAPPED:
+                self.files.pop(next(iter(self.files)))
             self.files[name] = np.load(os.path.join(self.folder, name), mmap_mode="r")
         return self.files[name]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes; words (their number) where unknown."""
         out = np.full(len(hashes), np.uint64(self.words))
-        edges = np.searchsorted(hashes, np.arange(1, self.ranges, dtype=np.uint64) << np.uint64(64 - self.ranges.bit_length() + 1)) if self.ranges > 1 else []
-        for r, (a, z) in enumerate(zip([0, *edges], [*edges, len(hashes)])):
-            if a < z and self.base[r + 1] > self.base[r]:
+        if not len(hashes):
+            return out
+        parts = hashes >> np.uint64(64 - self.ranges.bit_length() + 1) if self.ranges > 1 else np.zeros(len(hashes), np.uint64)
+        some, starts = np.unique(parts, return_index=True)
+        for r, a, z in zip(some.astype(int), starts, [*starts[1:], len(hashes)]):
+            if self.base[r + 1] > self.base[r]:
                 known = self.array(f"words-{r}.npy")
                 at = np.minimum(np.searchsorted(known, hashes[a:z]), len(known) - 1)
                 hit = known[at] == hashes[a:z]
@@ -171,10 +184,9 @@ class Model:
         """Values of a per-word array for sorted ids; 0 for unknown words and the start."""
         out = np.zeros(len(ids), dtype)
         edges = np.searchsorted(ids, self.base.astype(np.uint64))
-        for r in range(self.ranges):
+        for r in np.flatnonzero(np.diff(edges)):
             a, z = edges[r], edges[r + 1]
-            if a < z:
-                out[a:z] = self.array(f"{name}-{r}.npy")[(ids[a:z] - np.uint64(self.base[r])).astype(np.int64)]
+            out[a:z] = self.array(f"{name}-{r}.npy")[(ids[a:z] - np.uint64(self.base[r])).astype(np.int64)]
         return out
 
     def segment(self, keys: np.ndarray) -> np.ndarray:
@@ -186,15 +198,13 @@ class Model:
         """Counts of sorted distinct keys."""
         out, segment = np.zeros(len(keys), np.int64), self.segment(keys)
         order = np.argsort(segment, kind="stable")
-        edges = np.searchsorted(segment[order], np.arange(self.segments + 1))
-        for s in range(self.segments):
-            at = order[edges[s] : edges[s + 1]]
-            if len(at):
-                known = self.array(f"bigrams-{s}.npy")
-                if len(known):
-                    i = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-                    hit = known[i] == keys[at]
-                    out[at[hit]] = self.array(f"counts-{s}.npy")[i[hit]]
+        some, starts = np.unique(segment[order], return_index=True)
+        for s, a, z in zip(some, starts, [*starts[1:], len(order)]):
+            at, known = order[a:z], self.array(f"bigrams-{s}.npy")
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+                hit = known[i] == keys[at]
+                out[at[hit]] = self.array(f"counts-{s}.npy")[i[hit]]
         return out
 
     def low_probability(self, continuations: np.ndarray) -> np.ndarray:
@@ -231,7 +241,10 @@ def train(texts: DataFrame, ranges: int | None = None) -> Model:
     """The model of the texts in texts(text)."""
     spark = texts.sparkSession
     prepare(spark)
+    # as many tasks as the session asks for, and more where the text is long
     wanted = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = max(wanted, -(-size // RANGE_BYTES))
     ranges = 1 << max(0, (wanted - 1).bit_length())
     folder = _local(shared_dir(spark))
     os.makedirs(folder, exist_ok=True)
@@ -268,7 +281,7 @@ def train(texts: DataFrame, ranges: int | None = None) -> Model:
     sizes, total = np.zeros(ranges, np.int64), sum(r.total for r in got)
     for r in got:
         sizes[r.part] = r.n
-    segments = max(1, wanted)
+    segments = max(1, wanted, -(-total // SEGMENT_TOKENS))
     model = Model(folder, ranges, segments, np.concatenate([[0], np.cumsum(sizes)]), total)
     if model.words >= 2**32 - 1:
         raise ValueError("more distinct words than 32-bit ids")

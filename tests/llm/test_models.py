@@ -424,5 +424,14 @@ def test_kneser_ney(spark, data):
         assert tuple(g)[:5] == w[:5] and g.base_score == pytest.approx(w[5], abs=1e-6) and g.score == pytest.approx(w[6], abs=1e-6)
 
 
+def test_kneser_ney_in_many_parts(spark, monkeypatch):
+    """Many ranges and segments, few of them mapped at a time, give the same scores."""
+    want = {str(tuple(r)[:6]): r.score for r in kneser_ney.score_documents(documents(spark)).collect()}
+    monkeypatch.setattr(kneser_ney, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(kneser_ney, "SEGMENT_TOKENS", 500)
+    got = {str(tuple(r)[:6]): r.score for r in kneser_ney.score_documents(documents(spark)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_kneser_ney_empty(spark):
     assert kneser_ney.score_documents(documents(spark, [])).count() == 0
