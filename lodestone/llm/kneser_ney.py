@@ -53,8 +53,10 @@ FLUSH = 3_000_000
 HOT_SHARE = 0.25
 #: What one task merges, at most about: the words of so many bytes of text, the bigrams of so many tokens.
 RANGE_BYTES, SEGMENT_TOKENS = 64 << 20, 2_000_000
+#: A word's statistics: its count, of the bigrams it begins the tokens and the kinds seen once, twice, more often, and its predecessors.
+STATS = ("count", "tokens", "once", "twice", "more", "before")
 #: Arrays that a worker keeps mapped.
-MAPPED = 512
+MAPPED = 1024
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:
@@ -159,11 +161,13 @@ class Model:
         return int(self.base[-1])
 
     def array(self, name: str) -> np.ndarray:
-        if name not in self.files:
+        found = self.files.pop(name, None)
+        if found is None:
             if len(self.files) >= MAPPED:
-                self.files.pop(next(iter(self.files)))
-            self.files[name] = np.load(os.path.join(self.folder, name), mmap_mode="r")
-        return self.files[name]
+                self.files.pop(next(iter(self.files)))  # the one not used for longest
+            found = np.load(os.path.join(self.folder, name), mmap_mode="r")
+        self.files[name] = found
+        return found
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes; words (their number) where unknown."""
@@ -180,13 +184,13 @@ class Model:
                 out[a:z][hit] = at[hit].astype(np.uint64) + np.uint64(self.base[r])
         return out
 
-    def by_id(self, name: str, ids: np.ndarray, dtype) -> np.ndarray:
-        """Values of a per-word array for sorted ids; 0 for unknown words and the start."""
-        out = np.zeros(len(ids), dtype)
+    def by_id(self, ids: np.ndarray) -> np.ndarray:
+        """A row of every statistic in STATS for sorted ids; 0 for unknown words and the start."""
+        out = np.zeros((len(STATS), len(ids)), np.int64)
         edges = np.searchsorted(ids, self.base.astype(np.uint64))
         for r in np.flatnonzero(np.diff(edges)):
             a, z = edges[r], edges[r + 1]
-            out[a:z] = self.array(f"{name}-{r}.npy")[(ids[a:z] - np.uint64(self.base[r])).astype(np.int64)]
+            out[:, a:z] = self.array(f"stats-{r}.npy")[:, (ids[a:z] - np.uint64(self.base[r])).astype(np.int64)]
         return out
 
     def segment(self, keys: np.ndarray) -> np.ndarray:
@@ -241,10 +245,10 @@ def train(texts: DataFrame, ranges: int | None = None) -> Model:
     """The model of the texts in texts(text)."""
     spark = texts.sparkSession
     prepare(spark)
-    # as many tasks as the session asks for, and more where the text is long
-    wanted = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many tasks as the session asks for, as long as a task gets between a quarter of its most and all of it
+    wanted = tasks = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = max(wanted, -(-size // RANGE_BYTES))
+    wanted = max(min(wanted, 1 + 4 * size // RANGE_BYTES), -(-size // RANGE_BYTES))
     ranges = 1 << max(0, (wanted - 1).bit_length())
     folder = _local(shared_dir(spark))
     os.makedirs(folder, exist_ok=True)
@@ -281,7 +285,7 @@ def train(texts: DataFrame, ranges: int | None = None) -> Model:
     sizes, total = np.zeros(ranges, np.int64), sum(r.total for r in got)
     for r in got:
         sizes[r.part] = r.n
-    segments = max(1, wanted, -(-total // SEGMENT_TOKENS))
+    segments = max(1, min(tasks, 1 + 4 * total // SEGMENT_TOKENS), -(-total // SEGMENT_TOKENS))
     model = Model(folder, ranges, segments, np.concatenate([[0], np.cumsum(sizes)]), total)
     if model.words >= 2**32 - 1:
         raise ValueError("more distinct words than 32-bit ids")
@@ -331,10 +335,12 @@ def train(texts: DataFrame, ranges: int | None = None) -> Model:
         # the last range also holds the start, after its words
         size = int(sizes[part]) + (part == ranges - 1)
         at = (ids - np.uint64(model.base[part])).astype(np.int64)
-        for name, v in (("tokens", tot), ("once", n1), ("twice", n2), ("more", n3), ("before", cont)):
-            dense = np.zeros(size, np.uint32 if v.max(initial=0) < 2**32 else np.int64)
-            dense[at] = v
-            _save(folder, f"{name}-{part}.npy", dense)
+        stats = np.zeros((len(STATS), size), np.int64)
+        counted = np.load(os.path.join(folder, f"unigrams-{part}.npy")) if sizes[part] else np.zeros(0, np.int64)
+        stats[0, : len(counted)] = counted
+        for row, v in enumerate((tot, n1, n2, n3, cont), 1):
+            stats[row, at] = v
+        _save(folder, f"stats-{part}.npy", stats if stats.max(initial=0) >= 2**32 else stats.astype(np.uint32))
         return pa.table({"part": pa.array([part], pa.int32()), "sums": [_counts_of_counts(cont[cont > 0])], "total": [int(cont.sum())]})
 
     pairs = texts.select("text").mapInArrow(count_bigrams, schema).groupBy("part").applyInArrow(write_bigrams, schema)
@@ -352,9 +358,8 @@ def train(texts: DataFrame, ranges: int | None = None) -> Model:
         words_cont = model.words  # every word has a predecessor, the start included
         model.low_gamma = float(d[1] * n[1] + d[2] * n[2] + d[3] * (words_cont - n[1] - n[2])) / model.low_total
     for r in range(ranges):  # ranges of which nothing was sent
-        for name in ("tokens", "once", "twice", "more", "before"):
-            if not os.path.exists(os.path.join(folder, f"{name}-{r}.npy")):
-                _save(folder, f"{name}-{r}.npy", np.zeros(int(sizes[r]) + (r == ranges - 1), np.uint32))
+        if not os.path.exists(os.path.join(folder, f"stats-{r}.npy")):
+            _save(folder, f"stats-{r}.npy", np.zeros((len(STATS), int(sizes[r]) + (r == ranges - 1)), np.uint32))
     for s in range(segments):
         if not os.path.exists(os.path.join(folder, f"bigrams-{s}.npy")):
             _save(folder, f"bigrams-{s}.npy", np.zeros(0, np.uint64))
@@ -376,8 +381,8 @@ def score_tokens(model: Model, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     """Per text of a block: tokens known, base score, model score."""
     keys, _, _, ids = bigrams(model, t, n)
     words, at_word = np.unique(ids, return_inverse=True)
-    unigram = model.by_id("unigrams", words, np.int64)
-    unigram[words >= model.words] = 0
+    unigram, *_, before = model.by_id(words)  # unknown words and the start are no words here
+    unigram, before = np.where(words < model.words, unigram, 0), np.where(words < model.words, before, 0)
     starts = np.cumsum(n) - n
     base = np.log10((unigram + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
     # an unknown word as context is not the start: it has no followers
@@ -386,21 +391,18 @@ def score_tokens(model: Model, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     pairs, at = np.unique(keys, return_inverse=True)
     context, word = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
     contexts, at_context = np.unique(context, return_inverse=True)
-    last = model.ranges - 1
-    stats = {}
-    for name in ("tokens", "once", "twice", "more"):
-        v = model.by_id(name, contexts, np.float64)
-        v[contexts == model.words] = model.array(f"{name}-{last}.npy")[-1] if model.words else 0
-        stats[name] = v[at_context]
-    followed = np.unique(word, return_inverse=True)
-    before = model.by_id("before", followed[0], np.int64)
-    before[followed[0] >= model.words] = 0
-    low = model.low_probability(before)[followed[1]]
+    of_context = model.by_id(contexts)
+    if model.words:  # the start stands behind the last range's words
+        of_context[:, contexts == model.words] = model.array(f"stats-{model.ranges - 1}.npy")[:, -1:]
+    else:
+        of_context[:, contexts == model.words] = 0
+    tokens_, once, twice, more = of_context[1:5, at_context].astype(float)
+    low = model.low_probability(before)[np.searchsorted(words, word)]
     c = model.bigram_counts(pairs)
     d = model.discounts
-    total = np.maximum(stats["tokens"], 1)
-    gamma = (d[1] * stats["once"] + d[2] * stats["twice"] + d[3] * stats["more"]) / total
-    p = np.where(stats["tokens"] > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / total + gamma * low, low)
+    total = np.maximum(tokens_, 1)
+    gamma = (d[1] * once + d[2] * twice + d[3] * more) / total
+    p = np.where(tokens_ > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / total + gamma * low, low)
     logs = np.log10(p)[at]
     if unknown_context.any():
         logs[unknown_context] = np.log10(low)[at[unknown_context]]
