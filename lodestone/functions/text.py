@@ -45,8 +45,9 @@ def once(value: Column, use) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{Mn}+", "")
+    """Lower case without diacritics. ASCII texts, known by their length, have none."""
+    plain = lambda t: F.regexp_replace(F.translate(F.lower(t), ACCENTED, PLAIN), r"\p{Mn}+", "")
+    return once(text, lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(plain(t)))
 
 
 def tokens(text: Column) -> Column:

@@ -479,7 +479,7 @@ _ASSIGNED = "((password|passwd|secret|token|api_key|apikey)[\"'']? ?[:=] ?[\"'']
 @query(f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{_ASSIGNED}')) + len(regexp_extract_all(text, '([a-zA-Z][a-zA-Z0-9+.-]*://[^\\s:/@]+:)[^\\s@/]+@')) AS INTEGER) AS redactions, md5(regexp_replace(regexp_replace(text, '([a-zA-Z][a-zA-Z0-9+.-]*://[^\\s:/@]+:)[^\\s@/]+@', '\\1[REDACTED]@', 'g'), '{_ASSIGNED}', '\\1[REDACTED]\\3', 'g')) AS text_md5 FROM documents""")
 def redact_secrets(spark, d):
     text, n = scan.redact(F.col("text"))
-    return t.read(spark, d, "documents").select("doc_id", n.cast("int").alias("redactions"), F.md5(text).alias("text_md5"))
+    return t.documents(spark, d).select("doc_id", n.cast("int").alias("redactions"), F.md5(text).alias("text_md5"))
 
 
 # the store and the change queue
@@ -542,4 +542,4 @@ def tokenize(spark, d):
 
 @query("SELECT doc_id, regexp_matches(text, '\\S') AS has_text FROM documents")
 def blank_check(spark, d):
-    return t.read(spark, d, "documents").select("doc_id", (~is_blank(F.col("text"))).alias("has_text"))
+    return t.documents(spark, d).select("doc_id", (~is_blank(F.col("text"))).alias("has_text"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.scan import LOOKALIKES, PHRASES, ROLES, SIGNS
 
+from . import tables as t
+
 SOURCES = [
     (1, "rust", "pub struct Account { pub owner: String, pub balance: u64, pub limit: u64 }\n\nimpl Account {\n    pub fn deposit(&mut self, amount: u64) -> u64 {\n        check_amount(amount);\n        self.balance += amount;\n        self.balance\n    }\n}\n\nfn check_amount(amount: u64) {\n    assert_positive(amount);\n    log_amount(amount);\n}\n"),
     (2, "python", "import hashlib\n\n\ndef fingerprint(text):\n    return hashlib.sha256(text.encode()).hexdigest()\n\n\nclass Cache:\n    def lookup(self, text):\n        key = fingerprint(text)\n        return self.items.get(key)\n"),
@@ -47,7 +49,7 @@ def sources(spark: SparkSession) -> DataFrame:
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample texts, documents and conversations."""
     rows = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(TEXTS)], "id long, text string")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    docs = t.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     return rows.union(docs)
 
 

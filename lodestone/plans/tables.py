@@ -12,9 +12,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table with fewer bytes than this for each core may lie in fewer row groups than there are cores.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows on all cores by a key, if their table is too small to be so already; else as they are, without a shuffle.
+
+    A small Parquet file is often one row group, and so one task. The size is
+    Spark's own estimate, so nothing is read for it.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, key) if size < SPREAD_BYTES * cores else rows
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for work on their texts."""
+    return spread(read(spark, sf_dir, "documents"), "doc_id")
+
+
 def files(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
     """documents as files: a project per source."""
-    d = read(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir) if content else read(spark, sf_dir, "documents")
     path = F.concat("lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     columns = [F.col("doc_id").alias("file_id"), F.substring("source", 4, 9).cast("long").alias("project_id"), path.alias("path"), F.col("lang").alias("language"), F.octet_length("text").cast("long").alias("size_bytes")]
     return d.select(*columns, *([F.col("text").alias("content")] if content else []))
