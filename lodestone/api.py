@@ -22,6 +22,10 @@ from lodestone.sources.config import Config
 from lodestone.sources.store import Store, upserted, without
 
 
+#: Bits of a file's id; a chunk's id has its place in the file below them.
+FILE_BITS, PROJECT_BITS = 42, 40
+
+
 class UnknownProject(KeyError):
     pass
 
@@ -72,7 +76,8 @@ class Engine:
         project_id = self._project_id(name, path)
         old = s.table("files")
         mine = old.where(F.col("project_id") == project_id)
-        found = found.dropDuplicates(["path"]).withColumn("file_id", F.xxhash64(F.lit(project_id), "path").bitwiseAND((1 << 42) - 1)).persist()
+        found = found.dropDuplicates(["path"])
+        found = found.join(self._file_ids(found, old, project_id), "path").persist()
         try:
             # unchanged: same path and same fingerprint
             fresh = found if force else without(found, mine, ["path", "content_hash"])
@@ -111,11 +116,29 @@ class Engine:
         made = with_scan(made, "content").withColumn("suspicious", F.col("scan.is_suspicious"))
         return made.join(files.select("file_id", "language"), "file_id").select("chunk_id", "file_id", F.lit(project_id).alias("project_id"), "content", "symbol", "symbol_kind", "start_line", "end_line", "language", "suspicious")
 
+    def _file_ids(self, found: DataFrame, old: DataFrame, project_id: int) -> DataFrame:
+        """(path, file_id): a known path keeps its id, a new one gets a hash, hashed again with a salt until no other file has it."""
+        ids = old.where(F.col("project_id") == project_id).select("path", "file_id").join(found.select("path"), "path", "left_semi")
+        todo, taken, salt = found.select("path").join(ids, "path", "left_anti"), old.select("file_id"), 0
+        while True:
+            hashed = F.xxhash64(F.lit(project_id), "path", F.lit(salt)).bitwiseAND((1 << FILE_BITS) - 1)
+            won = todo.groupBy(hashed.alias("file_id")).agg(F.min("path").alias("path")).join(taken, "file_id", "left_anti").select("path", "file_id")
+            ids, taken, todo = ids.unionByName(won), taken.unionByName(won.select("file_id")), todo.join(won, "path", "left_anti")
+            if todo.isEmpty():
+                return ids
+            salt += 1
+
     def _project_id(self, name: str, path: str) -> int:
-        row = self.store.table("projects").where(F.col("name") == name).limit(1).collect()
+        rows = self.store.table("projects")
+        row = rows.where(F.col("name") == name).limit(1).collect()
         if row:
             return row[0].project_id
-        return self.spark.range(1).select(F.xxhash64(F.lit(name)).bitwiseAND((1 << 40) - 1).alias("i")).collect()[0].i
+        salt = 0
+        while True:
+            i = self.spark.range(1).select(F.xxhash64(F.lit(name), F.lit(salt)).bitwiseAND((1 << PROJECT_BITS) - 1).alias("i")).collect()[0].i
+            if rows.where(F.col("project_id") == i).isEmpty():
+                return i
+            salt += 1
 
     def _project_row(self, project_id: int, name: str, path: str) -> DataFrame:
         created = self.store.table("projects").where(F.col("project_id") == project_id).agg(F.coalesce(F.min("created_at"), F.current_timestamp()).alias("created_at"))

@@ -164,5 +164,7 @@ def enrich(path: Column, content: Column, symbol: Column, kind: Column, language
 
 
 def with_chunk_ids(chunks: DataFrame) -> DataFrame:
-    """chunk_id from the file and the chunk's place in it: the same for every run, and no global sort."""
-    return chunks.withColumn("chunk_id", F.col("file_id") * F.lit(1 << 20) + F.row_number().over(Window.partitionBy("file_id").orderBy("ord", "start_line")) - 1)
+    """chunk_id from the file and the chunk's place in it: the same for every run, and no global sort. A file of over 2^20 chunks raises."""
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("ord", "start_line"))
+    place = F.when(place <= 1 << 20, place - 1).otherwise(F.raise_error(F.lit("a file has more than 2^20 chunks")).cast("int"))
+    return chunks.withColumn("chunk_id", F.col("file_id") * F.lit(1 << 20) + place)

@@ -239,8 +239,47 @@ def parse(text: str, language: str) -> tuple[list[Def], list[tuple[str, int, int
     return found, calls
 
 
+# The names of Python's top-level statements where they are not the tree's own name.
+_PYTHON_KINDS = {"ImportFrom": "import_from_statement", "Expr": "expression_statement", "Assign": "expression_statement", "AugAssign": "expression_statement", "AnnAssign": "expression_statement"}
+
+
+def _top_level(text: str, language: str) -> list[tuple[str, str | None, str, int, int]]:
+    """The parts of a source that defines nothing: top-level statements, of LEAST_BYTES or more, without a symbol.
+
+    Python's come from its syntax tree under its names for them. In the other
+    languages a statement is a run of lines that ends where no bracket is open,
+    at a semicolon, a closing brace or, in Ruby and Go, a line's end.
+    """
+    parts = []
+    if language == "python":
+        starts = [0]
+        for line in text.encode().splitlines(keepends=True):
+            starts.append(starts[-1] + len(line))
+        raw = text.encode()
+        for node in ast.parse(text).body:
+            a, z = starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset
+            kind = type(node).__name__
+            parts.append((raw[a:z].decode(), _PYTHON_KINDS.get(kind, f"{kind.lower()}_statement"), node.lineno, node.end_lineno))
+    else:
+        ends = re.compile(r"[\])\w\"'`}]\s*$" if language in ("ruby", "go") else r"[;}]\s*$")
+        depth, first, held = 0, 0, []
+        lines, code = text.split("\n"), blanked(text, language).split("\n")
+        for i, (line, bare) in enumerate(zip(lines, code)):
+            if not held and not line.strip():
+                continue
+            first = first if held else i
+            held.append(line)
+            depth += sum(bare.count(c) for c in "([{") - sum(bare.count(c) for c in ")]}")
+            if language == "ruby":
+                depth += (bool(_RUBY_OPEN.search(bare)) and not re.search(r"\bend\b", bare)) - bool(re.match(r"\s*end\b", bare))
+            if depth <= 0 and (ends.search(bare) or i + 1 == len(lines)) or i + 1 == len(lines):
+                parts.append(("\n".join(held).strip(), "statement", first + 1, i + 1))
+                depth, held = 0, []
+    return [(c, None, kind, a, z) for c, kind, a, z in parts if c.strip() and len(c.encode("utf-8", "surrogatepass")) >= LEAST_BYTES]
+
+
 def chunk_source(text: str, language: str) -> list[tuple[str, str | None, str, int, int]]:
-    """(content, symbol, node kind, first line, last line) of definitions of LEAST_BYTES or more; nested ones too."""
+    """(content, symbol, node kind, first line, last line) of definitions of LEAST_BYTES or more, nested ones too; if there are none, of top-level statements."""
     found, _ = parse(text, language)
     rows = []
     for d in found:
@@ -249,7 +288,7 @@ def chunk_source(text: str, language: str) -> list[tuple[str, str | None, str, i
         if content.strip() and len(content.encode("utf-8", "surrogatepass")) >= LEAST_BYTES:
             first = text.count("\n", 0, d.start) + 1
             rows.append((content, d.name, "export_statement" if exported else d.node, first, first + content.count("\n")))
-    return rows
+    return rows or _top_level(text, language)
 
 
 def call_graph(text: str, language: str) -> tuple[list[tuple], list[tuple]]:

@@ -57,6 +57,18 @@ def test_small_definitions_are_no_chunks():
     assert syntax.chunk_source("fn a() {}", "rust") == []
 
 
+def test_top_level_statements_where_nothing_is_defined():
+    python = "import os\n\nSETTINGS = {\n    'name': 'a name that is long',\n    'place': 'somewhere else',\n}\nif SETTINGS:\n    print('the settings are set', SETTINGS, os.sep)\n"
+    assert [x[1:] for x in syntax.chunk_source(python, "python")] == [(None, "expression_statement", 3, 6), (None, "if_statement", 7, 8)]
+    script = "import x from 'y';\n\nregister({\n  name: 'a handler for events',\n  handler: x.handle,\n});\n"
+    assert [x[1:] for x in syntax.chunk_source(script, "javascript")] == [(None, "statement", 3, 6)]
+    ruby = "if ready?\n  puts 'everything is ready for the start'\n  start_it\nend\nputs 'done'\n"
+    assert [x[1:] for x in syntax.chunk_source(ruby, "ruby")] == [(None, "statement", 1, 4)]
+    assert syntax.chunk_source("x = 1;\n", "javascript") == [] and syntax.chunk_source("", "go") == []
+    both = "use std::collections::HashMap as AnotherNameForTheMap;\n\nfn long_enough() -> u64 {\n    let value = compute(1, 2, 3);\n    value\n}\n"
+    assert [x[1] for x in syntax.chunk_source(both, "rust")] == ["long_enough"]
+
+
 def test_call_graph(spark):
     d, c = syntax.extract_call_graph(samples.sources(spark))
     assert ("deposit", "check_amount") in {(r.caller_name, r.callee_name) for r in c.collect()}

@@ -100,3 +100,23 @@ def test_rate_limit(engine, spark):
     engine.list_projects()
     with pytest.raises(RateLimited):
         engine.list_projects()
+
+
+def test_ids_that_clash_are_hashed_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.api.FILE_BITS", 3)
+    monkeypatch.setattr("lodestone.api.PROJECT_BITS", 1)
+    e = Engine(spark, str(tmp_path / "store"), embedder=HashingEmbedder(16))
+    for project, names in (("one", "abcd"), ("two", "ef")):
+        os.makedirs(tmp_path / project)
+        for n in names:
+            (tmp_path / project / f"{n}.md").write_text(f"text of {n}\n")
+        e.index(str(tmp_path / project))
+    ids = lambda: {(r.project_id, r.path): r.file_id for r in e.store.table("files").collect()}
+    before = ids()
+    assert len(before) == 6 == len(set(before.values())) and len({p for p, _ in before}) == 2
+    (tmp_path / "one" / "a.md").write_text("another text\n")
+    (tmp_path / "one" / "g.md").write_text("text of g\n")
+    assert e.index(str(tmp_path / "one")).indexed == 2
+    after = ids()
+    assert len(set(after.values())) == 7 and all(after[k] == v for k, v in before.items())
+    assert e.store.table("chunks").select("chunk_id").distinct().count() == 7
