@@ -81,6 +81,19 @@ class Steps:
         self.drop(*[t for t, _ in list(self.paths.values()) if all(t is not k for k in tables)])
 
 
+#: Bytes of a table, as stored, for which a task is worth its start and its output file.
+TASK_BYTES = 8 << 20
+
+
+def compacted(df: DataFrame) -> DataFrame:
+    """A table of many small partitions in fewer ones, merged without a shuffle; four tasks for each core stay in any case.
+
+    The size is Spark's own estimate; where that is large or unknown, nothing is merged.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(size // TASK_BYTES, 4 * df.sparkSession.sparkContext.defaultParallelism), 2**31 - 1))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of whatever file system holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

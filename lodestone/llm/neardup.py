@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, prepare
+from .common import Steps, compacted, prepare
 from .graph import components, roots
 from .hashing import in_blocks, mix, shingles, word_hashes
 
@@ -121,7 +121,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 kept.append(sketch(s).tobytes() if len(s) else None)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "hash", "n_shingles", "digest", "sketch"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    rows = compacted(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"))
     return rows.mapInArrow(run, f"doc_id {id_type}, hash long, n_shingles long, digest binary, sketch binary")
 
 
