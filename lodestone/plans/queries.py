@@ -288,7 +288,7 @@ FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) v ON e.v
 def knn_batch(spark, d):
     e = t.read(spark, d, "embeddings")
     queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vector.knn_batch(e, queries, 5, exclude_self=True).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("distance", 6).alias("distance"))
+    return vector.knn_batch(t.spread(e, "vec_id"), queries, 5, exclude_self=True).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
 @query()

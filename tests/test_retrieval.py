@@ -28,6 +28,48 @@ def test_knn(spark):
         vector.checked(v.where("vec_id = 11"), 8).collect()
 
 
+def test_knn_batch_is_bounded_and_exact(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(1)
+    v = g.integers(-2, 3, (6000, 4)).astype(np.float32)  # few distinct vectors: ties, and some are zero
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(6000), "embedding": pa.array(v.tolist(), pa.list_(pa.float32()))}))
+    queries = rows.where("vec_id % 5 = 0 AND aggregate(embedding, 0D, (s, x) -> s + x * x) > 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {}
+    for r in vector.knn_batch(rows, queries, 5, exclude_self=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    norm = np.linalg.norm(v.astype(float), axis=1)
+    ids = np.flatnonzero(norm > 0)
+    unit = v[ids] / norm[ids][:, None]
+    assert sorted(got) == [i for i in ids if i % 5 == 0]
+    for i in got:
+        d = np.round(1 - unit @ (v[i] / norm[i]), 9)
+        order = np.lexsort((ids, d))
+        assert got[i] == [ids[j] for j in order if ids[j] != i][:5]
+
+    # a task's memory does not follow the number of queries times the rows of a batch
+    class Kept:
+        sparkSession = spark
+
+        def __getattr__(self, name):
+            return lambda *_, **__: self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    kept, many = Kept(), pa.array(g.normal(size=(8000, 4)).tolist(), pa.list_(pa.float32()))
+    vector.knn_batch(kept, spark.createDataFrame(pa.table({"query_id": np.arange(8000), "embedding": many})), 5, exclude_self=True)
+    batch = pa.record_batch([pa.array(np.arange(10000)), pa.array(g.normal(size=(10000, 4)).tolist(), pa.list_(pa.float32()))], ["vec_id", "embedding"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in kept.run(iter([batch]))) == 8000 * 5
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_fulltext_phrases_and_stems(spark):
     rows = [(1, "The quick foxes jumped", "src/a.rs", "foo_bar"), (2, "quick quick fox", "src/b.rs", None), (3, "jump foo then bar", "src/fox.rs", ""), (4, None, None, None)]
     chunks = spark.createDataFrame(rows, "chunk_id long, content string, file_path string, symbol string")
