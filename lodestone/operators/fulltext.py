@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.stemming import stem, stemmed
+from lodestone.functions.stemming import prefix_of, stem, stemmed
 from lodestone.functions.text import tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -26,6 +26,7 @@ class Index:
     postings: DataFrame
     doc_stats: DataFrame
     stemming: bool
+    terms: DataFrame | None = None  # (chunk_id, col, pos, term), not stemmed, of an index that is not stored
 
 
 def build_index(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS, stemming: bool = True) -> Index:
@@ -34,11 +35,24 @@ def build_index(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS, stemming:
     rows = chunks.select("chunk_id", F.explode(F.array(*listed)).alias("x")).select("chunk_id", "x.col", "x.t")
     doc_stats = rows.groupBy("chunk_id").agg(F.sum(F.size("t")).alias("len"))
     terms = rows.select("chunk_id", "col", F.posexplode("t").alias("pos", "term"))
-    if stemming:  # the stemmer sees distinct terms only
-        stems = terms.select("term").distinct().withColumn("stem", stemmed(F.col("term")))
-        terms = terms.join(stems, "term").select("chunk_id", "col", "pos", F.col("stem").alias("term"))
-    postings = terms.groupBy("term", "chunk_id", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, doc_stats, stemming)
+    if not stemming:
+        return Index(_postings(terms), doc_stats, stemming, terms)
+    stems = terms.select("term").distinct().withColumn("stem", stemmed(F.col("term")))  # the stemmer sees distinct terms only
+    return Index(_postings(terms.join(stems, "term").select("chunk_id", "col", "pos", F.col("stem").alias("term"))), doc_stats, stemming, terms)
+
+
+def _postings(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("term", "chunk_id", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def _postings_of(index: Index, wanted: list[str]) -> DataFrame:
+    """Postings with those of the wanted terms, all others or not. Of an index that is not stored, only words that may have a wanted stem are stemmed."""
+    if index.terms is None or not index.stemming:
+        return index.postings
+    near = F.lit(False)
+    for p in sorted({prefix_of(w) for w in wanted}):
+        near = near | F.col("term").startswith(p)
+    return _postings(index.terms.where(near).withColumn("term", stemmed(F.col("term"))).where(F.col("term").isin(wanted)))
 
 
 def save_index(index: Index, path: str) -> None:
@@ -97,11 +111,15 @@ def search(index: Index, query: str, limit: int | None = 10, offset: int = 0, co
     phrases = parse_query(spark, query, index.stemming)
     if not phrases:
         return index.doc_stats.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)
-    postings = index.postings if columns is None else index.postings.where(F.col("col").isin(*columns))
+    postings = _postings_of(index, sorted({t for p in phrases for t in p}))
+    if columns is not None:
+        postings = postings.where(F.col("col").isin(*columns))
+    # hits and doc_stats are used twice each; with the same columns and filters in both places, Spark computes them once
     hits = _phrase_hits(postings, phrases)
-    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    df = hits.groupBy("phrase").agg(F.count("tf").alias("df"))
     totals = index.doc_stats.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    rows = hits.join(F.broadcast(df), "phrase").join(index.doc_stats, "chunk_id").join(F.broadcast(totals))
+    sizes = index.doc_stats.select(F.col("chunk_id").alias("_id"), "len")
+    rows = hits.join(F.broadcast(df), "phrase").join(sizes, F.col("chunk_id").eqNullSafe(F.col("_id"))).join(F.broadcast(totals))
     score = bm25(F.col("tf"), F.col("len"), F.col("mean"), idf_of(F.col("n"), F.col("df")))
     out = rows.groupBy("chunk_id").agg(F.sum(score).alias("_s"), F.count(F.lit(1)).alias("_p")).where(F.col("_p") == len(phrases))
     if within is not None:

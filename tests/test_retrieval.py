@@ -81,6 +81,31 @@ def test_fulltext_phrases_and_stems(spark):
     assert ids("fox", limit=1, offset=1) == ids("fox")[1:2]
 
 
+def test_stems_share_their_prefix():
+    import itertools
+
+    from lodestone.functions import stemming
+
+    ends = ["", "s", "y", "ed", "ing", "ies", "sses", "e", *(a for a, _ in stemming.STEP2 + stemming.STEP3), *stemming.STEP4, "bility", "ency", "ality", "ably", "ivity", "ization", "ically"]
+    for base, a, b in itertools.product(["tr", "hop", "contr", "sensat", "ab", "the", "bl", "feel", "oper"], ends, ends):
+        assert (base + a + b).startswith(stemming.prefix_of(stemming.stem(base + a + b)))
+
+
+def test_search_stems_few_words(spark):
+    """A search of an index that is not stored shuffles the postings of its own terms and passes over the texts twice."""
+    rows = [(i, f"thing{i} things the {'running runs' if i % 2 else 'ran'} abilities") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    index = fulltext.build_index(chunks, columns=("content",))
+    stored = fulltext.Index(index.postings, index.doc_stats, True)
+    for q in ("thing run", "run_run", "ability", "thes"):
+        got = fulltext.search(index, q)
+        assert got.collect() == fulltext.search(stored, q).collect() and len(got.collect())
+    plan = (run := fulltext.search(index, "thing run")._jdf).queryExecution().executedPlan()
+    run.collectToPython()
+    text = plan.toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in text and "StartsWith" in text and text.count("SortMergeJoin") < 2
+
+
 def test_context_budget(spark):
     e = lambda ord_, path, n: (ord_, path, "x" * n)
     rows = spark.createDataFrame([e(1, "a", 30), e(2, "a", 30), e(3, "b", 20), e(4, "c", 60), e(5, "d", 1)], "ord long, path string, entry string")
