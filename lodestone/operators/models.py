@@ -10,13 +10,15 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 from .scan import redact
 
 MAX_BATCH = 64
+#: The most rows and bytes of texts that a worker is handed at once.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 class Embedder(Protocol):
@@ -74,8 +76,18 @@ class EchoGenerator:
         return " ".join((lines[-1] if lines else "").split()[:max_tokens])
 
 
+def bounded_batches() -> None:
+    """Lowers the session's limits of an Arrow batch to ARROW_ROWS and ARROW_BYTES, so that a worker's memory follows neither the table nor its longest texts."""
+    conf = SparkSession.active().conf
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def embedded(text: Column, embedder: Embedder) -> Column:
     """Vectors of a text column, in requests of at most MAX_BATCH texts; null texts have none."""
+    bounded_batches()
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -85,7 +97,7 @@ def embedded(text: Column, embedder: Embedder) -> Column:
             for a in range(0, len(at), MAX_BATCH):
                 part = at[a : a + MAX_BATCH]
                 for i, v in zip(part, embedder.embed(s.iloc[part].tolist())):
-                    out[i] = v
+                    out[i] = np.asarray(v, np.float32)
             yield out
 
     return run(text)
