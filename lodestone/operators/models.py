@@ -10,15 +10,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 from .scan import redact
 
 MAX_BATCH = 64
-#: The most rows and bytes of texts that a worker is handed at once.
-ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 class Embedder(Protocol):
@@ -76,31 +75,25 @@ class EchoGenerator:
         return " ".join((lines[-1] if lines else "").split()[:max_tokens])
 
 
-def bounded_batches() -> None:
-    """Lowers the session's limits of an Arrow batch to ARROW_ROWS and ARROW_BYTES, so that a worker's memory follows neither the table nor its longest texts."""
-    conf = SparkSession.active().conf
-    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        now = int(conf.get(f"spark.sql.execution.arrow.{key}"))
-        if not 0 < now <= most:
-            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
-
-
 def embedded(text: Column, embedder: Embedder) -> Column:
-    """Vectors of a text column, in requests of at most MAX_BATCH texts; null texts have none."""
-    bounded_batches()
-
-    @F.pandas_udf(ArrayType(FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = pd.Series([None] * len(s), dtype=object)
-            at = np.flatnonzero(s.notna().to_numpy())
-            for a in range(0, len(at), MAX_BATCH):
-                part = at[a : a + MAX_BATCH]
-                for i, v in zip(part, embedder.embed(s.iloc[part].tolist())):
-                    out[i] = np.asarray(v, np.float32)
-            yield out
-
-    return run(text)
+    """Vectors of a text column, in requests of at most MAX_BATCH texts; null texts have none.
+
+    A worker holds the Arrow batch that Spark hands it (10,000 rows and 64 MB by
+    default) and the texts and vectors of one request. Marked as nondeterministic,
+    so that filters on the vectors are not pushed below them: else each such
+    filter computes them again, in a worker of its own beside the first.
+    """
+
+    @F.arrow_udf(ArrayType(FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for a in range(0, len(b), MAX_BATCH):
+                part = b.slice(a, MAX_BATCH)
+                texts = part.drop_null().to_pylist()
+                vectors = iter(embedder.embed(texts) if texts else [])
+                yield pa.array([next(vectors) if x else None for x in part.is_valid().to_pylist()], pa.list_(pa.float32()))
+
+    return run.asNondeterministic()(text)
 
 
 def rerank_scores(query: str, content: Column, reranker: Reranker) -> Column:

@@ -150,6 +150,20 @@ def test_models(spark):
     assert "pw123" not in a
 
 
+def test_embedded_is_computed_once(spark):
+    """Filters on the vectors stay above the step that makes them, and the session's limits are left alone."""
+    limits = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(x) for x in limits]
+    e = models.HashingEmbedder(16)
+    texts = [(i, None if i % 3 == 0 else f"word{i} of {i % 7}") for i in range(200)]
+    rows = spark.createDataFrame(texts, "chunk_id long, t string").coalesce(1)
+    vectors = rows.select("chunk_id", models.embedded(F.col("t"), e).alias("embedding"))
+    assert {r.chunk_id: r.embedding for r in vectors.collect()} == {i: None if t is None else e.embed([t])[0] for i, t in texts}
+    got = vector.knn(vectors, e.embed(["word5 of 5"])[0], 3, id_column="chunk_id")
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert got.first().chunk_id == 5 and [spark.conf.get(x) for x in limits] == before
+
+
 def test_token_bucket():
     now = [0.0]
     b = TokenBucket(2, 2.0, lambda: now[0])
